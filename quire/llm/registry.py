@@ -1,9 +1,11 @@
 """Queries of this subpackage and the SQL that says the same."""
 
-from . import line_dedup, mixing
+from . import bpe_automaton, huffman, line_dedup, mixing
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op2_huffman": huffman.op2_huffman,
     "op7_line_dedup": line_dedup.op7_line_dedup,
+    "op8_bpe_automaton": bpe_automaton.op8_bpe_automaton,
 }
 ORACLES = {"op7_line_dedup": line_dedup.SQL}
