@@ -1,11 +1,12 @@
 """Queries of this subpackage and the SQL that says the same."""
 
-from . import bpe_automaton, huffman, line_dedup, mixing
+from . import bpe_automaton, huffman, line_dedup, mixing, secrets
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_huffman": huffman.op2_huffman,
+    "op5_secrets": secrets.op5_secrets,
     "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_bpe_automaton": bpe_automaton.op8_bpe_automaton,
 }
-ORACLES = {"op7_line_dedup": line_dedup.SQL}
+ORACLES = {"op5_secrets": secrets.SQL, "op7_line_dedup": line_dedup.SQL}
