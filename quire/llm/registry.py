@@ -1,12 +1,14 @@
 """Queries of this subpackage and the SQL that says the same."""
 
-from . import bpe_automaton, huffman, line_dedup, mixing, secrets
+from . import bitsliced, bpe_automaton, huffman, line_dedup, mixing, near_dedup, secrets
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_huffman": huffman.op2_huffman,
     "op5_secrets": secrets.op5_secrets,
+    "op6_topk": bitsliced.op6_topk,
     "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_bpe_automaton": bpe_automaton.op8_bpe_automaton,
+    "op9_near_dedup": near_dedup.op9_near_dedup,
 }
-ORACLES = {"op5_secrets": secrets.SQL, "op7_line_dedup": line_dedup.SQL}
+ORACLES = {"op6_topk": bitsliced.SQL, "op5_secrets": secrets.SQL, "op7_line_dedup": line_dedup.SQL}
