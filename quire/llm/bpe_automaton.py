@@ -35,6 +35,7 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -137,7 +138,7 @@ _FULL = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\t-\r\x20\x85\xa0  - 
 class WordCodec:
     """Whole texts to ids and decoded text, with a bounded table of words met."""
 
-    def __init__(self, vocabulary: str, remembered: int = 300_000):
+    def __init__(self, vocabulary: str, remembered: int = 500_000):
         import regex
 
         with open(vocabulary, encoding="utf-8") as f:
@@ -185,9 +186,15 @@ class _Known(dict):
         return out
 
 
+@lru_cache(maxsize=2)
+def word_codec(vocabulary: str) -> WordCodec:
+    """One codec for all tasks of a worker process."""
+    return WordCodec(vocabulary)
+
+
 def _codec_over(vocabulary: str, text_at: int, digest: bool, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = WordCodec(vocabulary)
+        codec = word_codec(vocabulary)
         for batch in batches:
             for i, j in slices(len(batch)):
                 part = batch.slice(i, j - i)
