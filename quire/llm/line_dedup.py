@@ -133,7 +133,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.withColumns({"doc__": F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)), "version__": F.xxhash64(text)})
     joined = keyed.join(gone.withColumnsRenamed({"doc": "doc__", "version": "version__"}), ["doc__", "version__"], "left")
-    lines = F.split(text, "\n", -1)
+    joined, lines = joined.withColumn("lines__", F.split(text, "\n", -1)), F.col("lines__")
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone__"))
     new_text = F.when(F.col("gone__").isNull(), text).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
     done = joined.withColumns({"lines_before": F.size(lines).cast("long"), "lines_dropped": F.coalesce(F.size("gone__"), F.lit(0)).cast("long"), "text__": new_text})
