@@ -152,7 +152,7 @@ def _measure(vocabulary: str, bands: dict, least_words: int, most_repeated: int,
         for batch in batches:
             for i, j in slices(len(batch)):
                 part = batch.slice(i, j - i)
-                texts, langs = [t or "" for t in part["text"].to_pylist()], part["lang"].to_pylist()
+                texts, langs = [t or "" for t in part["__text"].to_pylist()], part["__lang"].to_pylist()
                 words = [_WORD.findall(t) for t in texts]
                 rows = []
                 for text, own, ids, lang in zip(texts, words, tokens.of(words), langs, strict=True):
@@ -172,7 +172,7 @@ def _measure(vocabulary: str, bands: dict, least_words: int, most_repeated: int,
 def measure_quality(docs: DataFrame, vocabulary: str, keep: list[str], text_col: str = "text", lang_col: str | None = "lang", bands: dict | None = None, least_words: int = 50, most_repeated: int = 50, least_tokens: int = 50) -> DataFrame:
     """The columns ``keep`` of docs, the measures, base_failed and kept (false if base_failed, else by the bands)."""
     lang = F.col(lang_col).cast("string") if lang_col else F.lit(None).cast("string")
-    picked = docs.select(*[F.col(c) for c in keep], F.col(text_col).alias("text"), lang.alias("lang"))
+    picked = docs.select(*[F.col(c) for c in keep], F.col(text_col).alias("__text"), lang.alias("__lang"))
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-2]] + [f"{m} long" for m in MEASURES] + ["token_entropy double", "base_failed boolean", "kept boolean"])
     return picked.mapInArrow(_measure(vocabulary, bands or BANDS, least_words, most_repeated, least_tokens), schema)
 

@@ -82,13 +82,13 @@ def _all(conditions: list[Column]) -> Column:
 
 
 def mix_quotas(docs: DataFrame, weights: DataFrame | None = None, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", block_words: int = 64, max_passes: int = 3, shard_docs: int = 128, max_shards: int = 4096, seed: int = 20240229) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken, copies) for every row of docs.
+    """(doc_id, source, size, source_size, target, taken, copies, version) for every row of docs.
 
     weights: (source, weight); without it sources in code-point order, null last, weigh 1, 2, 3, 1, ...
     taken: words of this row in the mix, repeats counted.  copies: whole copies of the row whose
     running total follows the running total of taken / size within the shard (0 to max_passes)."""
     spark, folder = docs.sparkSession, new_folder(docs.sparkSession, "mix")
-    sized = stash(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")), f"{folder}/sizes")
+    sized = stash(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("version")), f"{folder}/sizes")
     totals = sized.groupBy("source").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("docs"))
     if weights is None:
         order = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
@@ -105,7 +105,7 @@ def mix_quotas(docs: DataFrame, weights: DataFrame | None = None, id_col: str =
     shards = placed.groupBy("source", "shard", "source_seats").agg(F.sum("size").alias("shard_words"))
     quotas = stash(sainte_lague(shards, ["source", "source_seats"], ["shard"], "shard_words", F.col("source_seats")).drop("source_seats"), f"{folder}/quotas")
     joined = placed.join(quotas.withColumnsRenamed({"source": "s_", "shard": "k_"}), F.col("source").eqNullSafe(F.col("s_")) & (F.col("shard") == F.col("k_")))
-    stream = Window.partitionBy("source", "shard").orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id", "size")
+    stream = Window.partitionBy("source", "shard").orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id", "size", "version")
     running = stream.rowsBetween(Window.unboundedPreceding, 0)
     joined = joined.withColumn("end", F.sum("size").over(running)).withColumn("begin", F.col("end") - F.col("size"))
     blocks = F.greatest(F.ceil(F.col("shard_words") / block_words), F.lit(1)).cast("long")
@@ -121,7 +121,17 @@ def mix_quotas(docs: DataFrame, weights: DataFrame | None = None, id_col: str =
     share = F.sum(F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(F.lit(0.0)))
     offset = F.pmod(F.xxhash64(F.lit(seed + 1), "source", "shard"), F.lit(1000)) / 1000.0
     joined = joined.withColumn("upto", F.floor(F.round(share.over(running), 9) + offset)).withColumn("copies", F.col("upto") - F.coalesce(F.lag("upto").over(stream), F.lit(0)))
-    return joined.select("doc_id", "source", "size", F.col("words").alias("source_size"), "target", "taken", F.col("copies").cast("int").alias("copies"))
+    return joined.select("doc_id", "source", "size", F.col("words").alias("source_size"), "target", "taken", F.col("copies").cast("int").alias("copies"), "version")
+
+
+def mix_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options) -> DataFrame:
+    """docs with each row as many times as the mix takes it whole; all columns stay."""
+    key = lambda i, s, v: {"__k": F.coalesce(F.col(i).cast("string"), F.lit("")), "__s": F.coalesce(F.col(s).cast("string"), F.lit("")), "__v": v}
+    taken = mix_quotas(docs, None, id_col, source_col, text_col, **options).withColumns(key("doc_id", "source", F.col("version")))
+    taken = taken.groupBy("__k", "__s", "__v").agg(F.sum("copies").cast("int").alias("__n")).filter("__n > 0")
+    keyed = docs.withColumns(key(id_col, source_col, F.xxhash64(F.coalesce(text_col, F.lit(""))))).join(taken, ["__k", "__s", "__v"])
+    once = keyed.dropDuplicates(["__k", "__s", "__v"])
+    return once.withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*docs.columns)
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

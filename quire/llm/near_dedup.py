@@ -106,13 +106,15 @@ def _roots(rows: DataFrame, labels: DataFrame, name: str, root: str) -> DataFram
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, t: float = 0.8, k: int = 32, miss: float = 1e-7) -> DataFrame:
-    """(doc_id, n_shingles, component_id, keeper) for every row of docs; keeper marks one row of each group."""
+    """(doc_id, n_shingles, component_id, keeper, version) for every row of docs; keeper marks one row
+    of each group, version is a hash of the text."""
     if t < 0.8:
         raise ValueError("similarities below 0.8 are not supported")
     spark, folder = docs.sparkSession, new_folder(docs.sparkSession, "near")
     sets_of = lambda d: with_shingles(d, words).withColumns({"n": F.size("set"), "c1": F.xxhash64("set"), "c2": F.xxhash64(F.lit(7), "set")})
     plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    sketched = stash(sets_of(plain).select(F.monotonically_increasing_id().alias("row"), "doc_id", "n", "c1", "c2", F.slice("set", 1, k).alias("sk")), f"{folder}/sketches")
+    version = F.xxhash64(F.coalesce("text", F.lit(""))).alias("version")
+    sketched = stash(sets_of(plain).select(F.monotonically_increasing_id().alias("row"), "doc_id", version, "n", "c1", "c2", F.slice("set", 1, k).alias("sk")), f"{folder}/sketches")
 
     # Classes of equal sets.
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
@@ -193,9 +195,16 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rooted = stash(_roots(reps.select("row", "doc_id", "n", "c1", "c2"), labels, "row", "root"), f"{folder}/rooted")
     tops = stash(rooted.groupBy("root").agg(least.alias("top")), f"{folder}/tops")
     named = stash(rooted.join(tops, "root").select("c1", "c2", "n", F.col("top.doc_id").alias("component_id"), F.col("top.row").alias("top")), f"{folder}/named")
-    out = sketched.select("row", "doc_id", "n", "c1", "c2").join(named, ["c1", "c2", "n"], "left")
+    out = sketched.select("row", "doc_id", "version", "n", "c1", "c2").join(named, ["c1", "c2", "n"], "left")
     alone = F.col("n") == 0
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), (alone | (F.col("row") == F.col("top"))).alias("keeper"), "row")
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), (alone | (F.col("row") == F.col("top"))).alias("keeper"), "version")
+
+
+def near_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, t: float = 0.8) -> DataFrame:
+    """One row of each group, with all its columns."""
+    kept = near_groups(docs, id_col, text_col, words, t).filter("keeper").select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__k"), F.col("version").alias("__v"))
+    keyed = docs.withColumns({"__k": F.coalesce(F.col(id_col).cast("string"), F.lit("")), "__v": F.xxhash64(F.coalesce(text_col, F.lit("")))})
+    return keyed.join(kept, ["__k", "__v"], "left_semi").dropDuplicates(["__k", "__v"]).select(*docs.columns)
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
