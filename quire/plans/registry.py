@@ -1,4 +1,5 @@
 """Registered queries over the driver's tables and their oracles."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from .queries import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
