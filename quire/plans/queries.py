@@ -537,3 +537,95 @@ def json_blob(spark, d):
 def sentence_spans(spark, d):
     docs = fx.table(spark, d, "documents").select("doc_id", text.logical_text(F.col("text")).alias("t"))
     return docs.select("doc_id", text.sentence_spans(F.col("t")).alias("spans"))
+
+
+# ---------------------------------------------------------------- planning, profiles, reports
+
+
+@query("SELECT source, count(*) FILTER (WHERE s) AS skipped, count(*) FILTER (WHERE NOT s AND NOT d) AS agree, count(*) FILTER (WHERE d) AS disagree, round(count(*) FILTER (WHERE d) * 100.0 / (count(*) - count(*) FILTER (WHERE s)), 2) AS percent FROM (SELECT source, starts_with(trim(a), '[Skipped:') AND starts_with(trim(b), '[Skipped:') AS s, " + _S.format("a") + " <> " + _S.format("b") + " AS d FROM {pairs}) GROUP BY source")
+def run_disagreement(spark, d):
+    from ..operators import reports
+
+    return reports.disagreement(fx.pairs(spark, d), ["source"], "a", "b")
+
+
+@query()
+def run_similarity(spark, d):
+    """The same with similarities of the first lines."""
+    from ..operators import reports
+
+    first = lambda c: F.split_part(F.col(c), F.lit("\n"), F.lit(1))
+    p = fx.pairs(spark, d).withColumn("ratio", udfs.sequence_ratio(first("a"), first("b")))
+    return reports.disagreement(p, ["source"], "a", "b", F.col("ratio"))
+
+
+_JOBS = "(SELECT n_nationkey AS job, n_nationkey % 3 AS collisions, CASE WHEN n_nationkey % 4 = 0 THEN 'arabic' ELSE 'latin' END AS script, CASE WHEN n_nationkey % 5 = 0 THEN 'rtl' ELSE 'ltr' END AS direction, n_name AS source_name, CASE WHEN n_nationkey % 6 = 0 THEN '' WHEN n_nationkey % 6 = 1 THEN 'other' ELSE n_name END AS source_id, n_nationkey * 20 AS impossible, n_nationkey % 4 AS rejected, n_nationkey % 3 AS blocked, n_nationkey % 2 AS review_pages, n_nationkey % 3 AS header_sources, n_nationkey AS pages_run, 5 AS pages_before FROM nation)"
+
+
+@query(f"""WITH c AS (SELECT job, pages_run, pages_before, [collisions = 0, CASE WHEN script = 'arabic' THEN 'rtl' ELSE 'ltr' END = direction, source_name = '' OR source_id = '' OR source_name = source_id, impossible <= 200, rejected = 0 OR blocked / nullif(rejected, 0) <= 0.5, review_pages = 0, header_sources <= 1] AS ok FROM {_JOBS})
+SELECT job, unnest(['no_batch_collisions', 'direction', 'source_matches', 'impossible_strings', 'blocked_corrections', 'no_human_review', 'headers_match']) AS "check", unnest(ok) AS passed, list_bool_and(ok) AS all_passed, greatest(pages_run, pages_before) >= 10 AS unlocked FROM c""".replace("list_bool_and(ok)", "NOT list_contains(ok, false)"))
+def pilot_checklist(spark, d):
+    from ..operators import reports
+
+    fx.table(spark, d, "nation").createOrReplaceTempView("nation")
+    return reports.pilot_checks(spark.sql(f"SELECT * FROM {_JOBS}"))
+
+
+@query("SELECT doc_id FROM {pairs} WHERE doc_id % 7 = 0 OR " + _S.format("a") + " <> " + _S.format("b"))
+def human_review_pages(spark, d):
+    from ..operators import reports
+
+    p = fx.pairs(spark, d)
+    return reports.human_review([p.filter("doc_id % 7 = 0"), p.filter(reconcile.disagree(F.col("a"), F.col("b"))), p.filter("doc_id % 14 = 0")], ["doc_id"])
+
+
+@query()
+def patch_operations(spark, d):
+    """Sentences of all conversations that hold one of a few terms."""
+    from ..operators import planning
+
+    return planning.patch_operations(fx.books(spark, d), ["book", "page"], "text", ["the", "queon", "enheit", "ción"])
+
+
+@query()
+def pilot_pages(spark, d):
+    from ..operators import planning
+
+    return planning.pilot_pages(fx.bracketed(spark, d), "book", "page", "text", ["the", "tion", "ción", "enheit"], 4)
+
+
+@query("SELECT n_nationkey AS id, list_sort(list_slice(list_concat(c, list_slice(list_filter(range(1, 1 + greatest(1, n // 4)), lambda x: NOT list_contains(c, x)), 1, greatest(0, 6 - len(c)))), 1, 10)) AS pages FROM (SELECT n_nationkey, n, list_distinct([least(h * 15 // 100, n - 1) + 1, least(h * 15 // 100, n - 1) + 2, least(h * 45 // 100, n - 1) + 1, least(h * 45 // 100, n - 1) + 2, n * 8 // 100 + 1, n * 33 // 100 + 1, n * 67 // 100 + 1, n * 92 // 100 + 1]) AS c FROM (SELECT n_nationkey, (40 + n_nationkey * 20)::BIGINT AS n, (20 + n_nationkey * 10)::BIGINT AS h FROM nation))")
+def sample_pages(spark, d):
+    from ..operators import planning
+
+    n = fx.table(spark, d, "nation").selectExpr("n_nationkey AS id", "sequence(1L, cast(40 + n_nationkey * 20 as bigint)) AS p")
+    return n.select("id", planning.sample_pages(F.col("p")).alias("pages"))
+
+
+@query("SELECT n_nationkey AS id, CASE WHEN n_nationkey % 2 = 0 THEN 'arabic' ELSE 'latin' END AS script, CASE WHEN n_nationkey % 2 = 0 THEN 'rtl' ELSE 'ltr' END AS direction, [lower(n_name), 'b'] AS seed_terms, n_nationkey % 3 = 0 AS footnotes, CASE WHEN n_nationkey % 10 <= 1 THEN 'spanish' WHEN n_nationkey % 10 <= 5 AND n_nationkey % 10 * 10 < 100 - n_nationkey % 10 * 10 THEN 'spanish' WHEN n_nationkey % 10 = 5 THEN 'nahuatl' ELSE 'nahuatl' END AS main FROM nation")
+def detection_profiles(spark, d):
+    """Answers about a source, as JSON, to typed profiles."""
+    from ..operators import profiles
+
+    blob = "concat('{\"languages\": \"Spanish ', 100 - (n_nationkey % 10) * 10, '%, Nahuatl ', (n_nationkey % 10) * 10, '%\", \"script\": \"', CASE WHEN n_nationkey % 2 = 0 THEN 'Arabic script' ELSE 'Latin' END, '\", \"seed_hard_terms\": ', CASE WHEN n_nationkey % 2 = 0 THEN concat('[\"', lower(n_name), '\", \"b\"]') ELSE concat('\"', lower(n_name), ', b,\"') END, ', \"footnotes\": \"', CASE WHEN n_nationkey % 3 = 0 THEN 'Yes' ELSE 'no' END, '\"}')"
+    n = fx.table(spark, d, "nation").selectExpr("n_nationkey AS id", f"{blob} AS t").withColumn("p", profiles.detection(F.col("t")))
+    return n.select("id", "p.script", "p.direction", "p.seed_terms", "p.footnotes", profiles.primary_language(F.col("p.languages")).alias("main"))
+
+
+@query("SELECT event_id, len(w)::INT AS n, list_sum(list_transform(w, lambda x: least(100, greatest(0, x))))::DOUBLE AS confidence FROM (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN [event_id % 150, 70] WHEN event_id % 3 = 1 THEN [70, 70, 70] ELSE [70] END AS w FROM events)")
+def reader_words(spark, d):
+    """Payloads with words, with text only, and plain ones, as typed words."""
+    from ..operators import profiles
+
+    payload = "CASE event_id % 3 WHEN 0 THEN concat('{\"text\": \"x\", \"words\": [{\"text\": \"a\", \"confidence\": ', event_id % 150, '}, {\"text\": \" \"}, {\"text\": \"b\", \"bbox\": [1, 2]}]}') WHEN 1 THEN '{\"text\": \"a b\\\\nc\", \"words\": []}' ELSE event_type END"
+    e = fx.table(spark, d, "events").selectExpr("event_id", f"{payload} AS p").withColumn("w", profiles.reader_words(F.col("p")))
+    return e.select("event_id", F.size("w").alias("n"), F.aggregate("w", F.lit(0.0), lambda a, x: a + x["confidence"]).alias("confidence"))
+
+
+@query("SELECT n_nationkey AS id, 'nah' AS primary_language, CASE WHEN n_nationkey % 2 = 0 THEN 'spa' END AS secondary_language, n_nationkey % 3 = 0 AS indigenous_minority_mode, CASE WHEN n_nationkey % 3 = 0 THEN 65.0 ELSE 80.0 END::DOUBLE AS confidence_threshold, n_nationkey % 3 <> 0 AS extract_secondary FROM nation")
+def project_settings(spark, d):
+    from ..operators import profiles
+
+    project = F.expr("map('primary_language', ' nah ', 'secondary_language', CASE WHEN n_nationkey % 2 = 0 THEN 'spa' ELSE 'nah' END, 'indigenous_minority_mode', cast(n_nationkey % 3 = 0 as string))")
+    defaults = F.expr("map('primary_language', 'spa', 'confidence_threshold', '80')")
+    return fx.table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), profiles.effective_settings(project, defaults).alias("s")).select("id", "s.*")
