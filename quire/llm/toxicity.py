@@ -65,7 +65,7 @@ def train_dictionary(windows: Counter, size: int) -> bytes:
 class Lengths:
     """Gain of a window: bytes saved by the toxic dictionary against the ordinary one."""
 
-    def __init__(self, toxic: bytes, ordinary: bytes, level: int = 3, remembered: int = 500_000):
+    def __init__(self, toxic: bytes, ordinary: bytes, level: int = 16, remembered: int = 500_000):
         import zstandard
 
         parameters = zstandard.ZstdCompressionParameters.from_level(level, write_checksum=False, write_content_size=False, write_dict_id=False, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
