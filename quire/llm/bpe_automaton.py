@@ -21,7 +21,9 @@ length.  Decoding emits the labels of the arcs, joined as the library does witho
 by one space, word-end marks kept.
 
 Words are found as the vocabulary's file says: NFC, white space runs to one space, lower case
-letter by letter, then the split pattern; strings of added tokens are cut out first.
+letter by letter, then the split pattern; strings of added tokens are cut out first.  For texts of
+Latin letters and usual signs that is one short pattern; others are normalised and split by the
+library, whose Unicode tables are its own.  Tokens always come from the automaton.
 
 Defined results: null text is empty; empty text has no tokens and decodes to the empty string;
 rows are independent, so ties, repeated rows, null ids and further columns change nothing; an
@@ -33,9 +35,9 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -129,17 +131,14 @@ class Automaton:
         return out[::-1]
 
 
+#: Goes before words that are in base symbols already.
+_SPELLED = "\0"
 _SHORT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\s0-9{_LETTERS}]+")
-#: White space as the vocabulary's patterns mean it.
-_SPACE = r"[\t-\r\x20\x85\xa0  -     　]"
-_FULL = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\t-\r\x20\x85\xa0  -     　\p{L}\p{N}]+"
-
-
 class WordCodec:
     """Whole texts to ids and decoded text, with a bounded table of words met."""
 
-    def __init__(self, vocabulary: str, remembered: int = 500_000):
-        import regex
+    def __init__(self, vocabulary: str, remembered: int = 250_000):
+        from tokenizers import Tokenizer
 
         with open(vocabulary, encoding="utf-8") as f:
             spec = json.load(f)
@@ -149,23 +148,28 @@ class WordCodec:
         self.symbols = byte_symbols()
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
-        self.full, self.space = regex.compile(_FULL), regex.compile(f"{_SPACE}+")
+        self.library = Tokenizer.from_file(vocabulary)
         self.remembered = remembered
         self.words = _Known(self)
 
-    def tokens(self, word: str) -> list[int]:
-        return self.automaton.encode("".join([self.symbols[b] for b in word.encode("utf-8", "surrogatepass")]))
+    def spelled(self, word: str) -> str:
+        return "".join([self.symbols[b] for b in word.encode("utf-8", "surrogatepass")])
 
     def split(self, text: str) -> list[str]:
+        """Words in base symbols."""
         if PLAIN_ONLY.search(text) is None:
             return _SHORT.findall(text.lower())
-        text = self.space.sub(" ", unicodedata.normalize("NFC", text))
-        return self.full.findall("".join([c.lower() for c in text]) if "Σ" in text else text.lower())
+        if self.library.normalizer is not None:
+            text = self.library.normalizer.normalize_str(text)
+        return [_SPELLED + w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(text)]
 
     def encode_decode(self, text: str) -> tuple[bytes, str]:
         """(ids as little-endian unsigned 32-bit integers, decoded text)."""
-        if len(self.words) > self.remembered:
+        if len(self.words) > self.remembered:  # words met first are mostly the frequent ones; they stay
+            kept = list(islice(self.words.items(), self.remembered // 2))
             self.words.clear()
+            self.words.update(kept)
+        if len(self.automaton.table) > 4 * self.remembered:
             self.automaton.table.clear()
         found: list[tuple[bytes, str]] = []
         for part in self.cut.split(text) if self.cut and any(a in text for a in self.added) else (text,):
@@ -181,7 +185,7 @@ class _Known(dict):
         self.codec = codec
 
     def __missing__(self, word: str) -> tuple[bytes, str]:
-        ids = self.codec.tokens(word)
+        ids = self.codec.automaton.encode(word[1:] if word[0] == _SPELLED else self.codec.spelled(word))
         out = self[word] = np.array(ids, "<u4").tobytes(), " ".join([self.codec.automaton.labels[i] for i in ids])
         return out
 
