@@ -18,7 +18,7 @@ def brute(rows):
     out = []
     for i, t, *_ in rows:
         lines = (t or "").split("\n")
-        kept = [x for x in lines if not (x := x) or len(owners.get(key(x), ())) < 2 or min(owners[key(x)]) == place(i)]
+        kept = [x for x in lines if len(owners.get(key(x), ())) < 2 or min(owners[key(x)]) == place(i)]
         out.append((i, len(lines), len(lines) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest()))
     return out
 
