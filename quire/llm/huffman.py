@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import new_folder, release, remove, shuffle_width, stash, table
-from .pieces import PieceEncoder, slices
+from .pieces import piece_encoder, slices
 
 MAGIC = b"QHUF1\n\0\0"
 
@@ -220,7 +220,7 @@ def _tokenize(vocabulary: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, part, seq, end = PieceEncoder(vocabulary, "<u2"), TaskContext.get().partitionId(), 0, np.array([end_id], "<u2").tobytes()
+        encoder, part, seq, end = piece_encoder(vocabulary, "<u2"), TaskContext.get().partitionId(), 0, np.array([end_id], "<u2").tobytes()
         for batch in batches:
             for i, j in slices(len(batch)):
                 ids = [x + end for x in encoder.encode([t or "" for t in batch["text"][i:j].to_pylist()])]

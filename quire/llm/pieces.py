@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import os
 import re
-from itertools import chain
+from array import array
+from functools import lru_cache
+from itertools import islice, pairwise
 
 import numpy as np
 
@@ -24,7 +26,7 @@ BYTE_LEVEL = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^
 class PieceEncoder:
     """Ids of whole texts as little-endian unsigned integers of the given type."""
 
-    def __init__(self, vocabulary: str, dtype: str = "<u4", remembered: int = 400_000):
+    def __init__(self, vocabulary: str, dtype: str = "<u4", remembered: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -32,22 +34,49 @@ class PieceEncoder:
         self.model.no_truncation()
         self.model.no_padding()
         self.added = [t.content for t in self.model.get_added_tokens_decoder().values()]
-        self.dtype, self.remembered = np.dtype(dtype), remembered
+        self.code, self.width, self.remembered = {"<u2": "H", "<u4": "I"}[dtype], int(dtype[2:]), remembered
+        vocab = self.model.get_vocab()
+        self.spaced = np.zeros(max(vocab.values()) + 1, bool)
+        self.spaced[[i for t, i in vocab.items() if t[0] == "Ġ"]] = True
         self.known: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array(self.code, e.ids).tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _piece_ids(self, pieces: list[str], together: int = 512) -> dict[str, bytes]:
+        """Ids of single pre-tokens.  A space and letters is a pre-token of its own wherever it
+        stands, and its first token alone begins with a space: many such go to the library as one
+        text and are parted again at these tokens."""
+        spaced = [p for p in pieces if p[0] == " " and p[1:].isalpha()]
+        rest = [p for p in pieces if not (p[0] == " " and p[1:].isalpha())]
+        out = dict(zip(rest, self._ids(rest), strict=True))
+        groups = [spaced[i : i + together] for i in range(0, len(spaced), together)]
+        for group, e in zip(groups, self.model.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, f"<u{self.width}")
+            at = np.append(np.flatnonzero(self.spaced[ids]), len(ids)) * self.width
+            data, cuts = ids.tobytes(), at.tolist()
+            out.update(zip(group, [data[i:j] for i, j in pairwise(cuts)], strict=True))
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         plain = [PLAIN_ONLY.search(t) is None and not any(a in t for a in self.added) for t in texts]
         pieces = [BYTE_LEVEL.findall(t) if p else () for t, p in zip(texts, plain, strict=True)]
         if len(self.known) > self.remembered:
-            self.known.clear()
+            # Pieces met first are mostly the frequent ones; they stay.
+            self.known = dict(islice(self.known.items(), self.remembered // 2))
         known = self.known
-        new = list(set(chain.from_iterable(pieces)).difference(known))
-        known.update(zip(new, self._ids(new), strict=True))
-        get = known.__getitem__
-        return [b"".join(map(get, own)) if p else self._ids([t])[0] for t, p, own in zip(texts, plain, pieces, strict=True)]
+        parts = [list(map(known.get, own)) for own in pieces]
+        gaps = [(k, i) for k, own in enumerate(parts) if None in own for i, ids in enumerate(own) if ids is None]
+        known.update(self._piece_ids(list({pieces[k][i] for k, i in gaps})))
+        for k, i in gaps:
+            parts[k][i] = known[pieces[k][i]]
+        return [b"".join(own) if p else self._ids([t])[0] for t, p, own in zip(texts, plain, parts, strict=True)]
+
+
+@lru_cache(maxsize=2)
+def piece_encoder(vocabulary: str, dtype: str) -> PieceEncoder:
+    """One encoder for all tasks of a worker process."""
+    return PieceEncoder(vocabulary, dtype)
 
 
 def slices(n: int, size: int = 256):
