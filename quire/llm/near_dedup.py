@@ -16,7 +16,7 @@ expanded into all its pairs:
    linked members; a semi-join on the full sets that asks for one partner settles it, and distances
    to the hub rule out most.
 3. Members that aren't linked to the hub still meet each other, in the first list they share,
-   if their sketches agree, and are decided on full sets.
+   if their wider sketches agree (``wide_k`` values), and are decided on full sets.
 
 Every pair with similarity t falls under one of the three, so connected components come out
 whole.  Components are found by hooking and pointer jumping over tables in the shared folder.
@@ -105,7 +105,7 @@ def _roots(rows: DataFrame, labels: DataFrame, name: str, root: str) -> DataFram
     return rows.join(labels.select(F.col("node").alias(name), F.col("root").alias("__r")), name, "left").withColumn(root, F.coalesce("__r", name)).drop("__r")
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, t: float = 0.8, k: int = 32, miss: float = 1e-7) -> DataFrame:
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, t: float = 0.8, k: int = 32, wide_k: int = 128, miss: float = 1e-7) -> DataFrame:
     """(doc_id, n_shingles, component_id, keeper, version) for every row of docs; keeper marks one row
     of each group, version is a hash of the text."""
     if t < 0.8:
@@ -114,12 +114,15 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sets_of = lambda d: with_shingles(d, words).withColumns({"n": F.size("set"), "c1": F.xxhash64("set"), "c2": F.xxhash64(F.lit(7), "set")})
     plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     version = F.xxhash64(F.coalesce("text", F.lit(""))).alias("version")
-    sketched = stash(sets_of(plain).select(F.monotonically_increasing_id().alias("row"), "doc_id", version, "n", "c1", "c2", F.slice("set", 1, k).alias("sk")), f"{folder}/sketches")
+    wide_sketch = F.transform(F.slice("set", 1, wide_k), lambda h: F.shiftright(h, 32).cast("int"))  # upper halves: in the same order
+    sketched = stash(sets_of(plain).select(F.monotonically_increasing_id().alias("row"), "doc_id", version, "n", "c1", "c2", F.slice("set", 1, k).alias("sk"), wide_sketch.alias("sk2")), f"{folder}/sketches")
 
     # Classes of equal sets.
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
-    classes = sketched.filter("n > 0").groupBy("c1", "c2", "n").agg(least.alias("first"), F.min_by("sk", "row").alias("sk"))
-    reps = stash(classes.select(F.col("first.row").alias("row"), F.col("first.doc_id").alias("doc_id"), "n", "c1", "c2", "sk"), f"{folder}/reps")
+    classes = sketched.filter("n > 0").groupBy("c1", "c2", "n").agg(least.alias("first"), F.min_by(F.struct("sk", "sk2"), "row").alias("s"))
+    reps = stash(classes.select(F.col("first.row").alias("row"), F.col("first.doc_id").alias("doc_id"), "n", "c1", "c2", "s.sk", "s.sk2"), f"{folder}/reps")
+    fat, sketched = f"{folder}/sketches", stash(sketched.drop("sk", "sk2"), f"{folder}/rows")
+    remove(spark, fat)
 
     # Inverted lists of the rarest retained values.
     held = reps.select("row", "n", F.size("sk").alias("m"), F.explode("sk").alias("v"))
@@ -176,16 +179,27 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     remove(spark, f"{folder}/near", f"{folder}/tied")
 
     # 3. Members that aren't linked to their list's hub, among each other.
+    remove(spark, f"{folder}/sets-hubs")
     done = exact.filter("link").select("row", "hub")
-    rest = prefixed.select("row", "n", "prefix", F.explode("prefix").alias("v")).join(hubs.select("v", "hub"), "v").filter("row <> hub")
-    rest = rest.join(done, ["row", "hub"], "left_anti")
-    several = rest.groupBy("v").agg(F.count(F.lit(1)).alias("s")).filter("s > 1").select("v")
-    rest = _roots(rest.join(several, "v", "left_semi"), labels, "row", "root").join(reps.select("row", "sk"), "row")
-    rest = stash(rest.select("v", "row", "n", "prefix", "root", "sk"), f"{folder}/rest")
-    other = rest.select(*[F.col(c).alias(f"{c}_") for c in ("v", "row", "n", "prefix", "root", "sk")])
-    agree = (F.col("row") > F.col("row_")) & (F.col("root") != F.col("root_")) & fit(F.col("n"), F.col("n_"), t)
-    agree = agree & (F.get(F.array_intersect("prefix", "prefix_"), F.lit(0)) == F.col("v")) & (union_sketch_shared(F.col("sk"), F.col("sk_"), k) >= F.greatest(need_of(F.col("n"), k, t, miss), need_of(F.col("n_"), k, t, miss)))
-    pairs = stash(rest.join(other, (F.col("v") == F.col("v_")) & agree).select("row", "row_"), f"{folder}/pairs")
+    # Sizes of a linked pair lie within a factor of 1 / t: a pair meets in the size class of the larger
+    # one, where the smaller one stands too if its own class is the same or the one below.
+    size = F.floor(F.log("n") / (math.log(1 / t) * (1 + 1e-9))).cast("int")
+    unlinked = prefixed.select("row", size.alias("size"), F.explode("prefix").alias("v")).join(hubs.select("v", "hub"), "v").filter("row <> hub")
+    unlinked = stash(unlinked.join(done, ["row", "hub"], "left_anti").select("v", "row", F.explode(F.array("size", F.col("size") + 1)).alias("class"), "size"), f"{folder}/unlinked")
+    several = unlinked.groupBy("v", "class").agg(F.count(F.lit(1)).alias("s"), F.count_if(F.col("size") == F.col("class")).alias("own")).filter("s > 1 AND own > 0").select("v", "class")
+    unlinked = stash(unlinked.join(several, ["v", "class"], "left_semi"), f"{folder}/several")
+    remove(spark, f"{folder}/unlinked")
+    release(spark)
+    upper = F.transform("prefix", lambda h: F.shiftright(h, 32).cast("int"))
+    info = prefixed.select("row", "n", upper.alias("prefix")).join(unlinked.select("row").distinct(), "row", "left_semi").join(reps.select("row", "sk2"), "row")
+    info = stash(_roots(info, labels, "row", "root"), f"{folder}/info")
+    rest = stash(unlinked.join(info, "row"), f"{folder}/rest")
+    x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
+    agree = (x("v") == y("v")) & (x("class") == y("class")) & (F.greatest(x("size"), y("size")) == x("class")) & (x("row") > y("row")) & (x("root") != y("root")) & fit(x("n"), y("n"), t)
+    agree = agree & (F.get(F.array_intersect(x("prefix"), y("prefix")), F.lit(0)) == F.shiftright(x("v"), 32).cast("int"))
+    agree = agree & (union_sketch_shared(x("sk2"), y("sk2"), wide_k) >= F.greatest(*[need_of(c("n"), wide_k, t, miss) for c in (x, y)]))
+    pairs = stash(rest.alias("x").join(rest.alias("y"), agree).select(x("row").alias("row"), y("row").alias("row_")), f"{folder}/pairs")
+    release(spark)
     sets = sets_for(pairs.select("row").unionByName(pairs.select(F.col("row_").alias("row"))), "rest")
     found = pairs.join(sets, "row").join(sets.withColumnsRenamed({"row": "row_", "n": "n_", "set": "set_"}), "row_")
     found = stash(found.filter(linked(F.size(F.array_intersect("set", "set_")), F.col("n"), F.col("n_"), t)).select(*edge("row", "row_")), f"{folder}/found")
