@@ -105,7 +105,7 @@ def _roots(rows: DataFrame, labels: DataFrame, name: str, root: str) -> DataFram
     return rows.join(labels.select(F.col("node").alias(name), F.col("root").alias("__r")), name, "left").withColumn(root, F.coalesce("__r", name)).drop("__r")
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, t: float = 0.8, k: int = 32, wide_k: int = 128, miss: float = 1e-7) -> DataFrame:
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, t: float = 0.8, k: int = 64, wide_k: int = 128, miss: float = 1e-7) -> DataFrame:
     """(doc_id, n_shingles, component_id, keeper, version) for every row of docs; keeper marks one row
     of each group, version is a hash of the text."""
     if t < 0.8:
@@ -140,7 +140,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     wide = 2 * t - 1
     fit = lambda a, b, s: F.least(a, b) >= s * F.greatest(a, b) - 1e-9
     met = listed.join(hubs, "v").filter((F.col("row") != F.col("hub")) & fit(F.col("n"), F.col("hub_n"), wide)).select("row", "hub").distinct()
-    sk = reps.select("row", "n", "sk")
+    sk = reps.select("row", "n", F.slice("sk2", 1, k).alias("sk"))
     hub_sk = sk.withColumnsRenamed({"row": "hub", "n": "hub_n", "sk": "hub_sk"})
     few = F.least(F.lit(least_shared(k, wide, miss * 10)), F.ceil(F.least("n", "hub_n") * wide - 1e-9))
     alike = stash(met.join(sk, "row").join(hub_sk, "hub").filter(union_sketch_shared(F.col("sk"), F.col("hub_sk"), k) >= few).select("row", "hub"), f"{folder}/alike")
@@ -191,9 +191,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     remove(spark, f"{folder}/unlinked")
     release(spark)
     upper = F.transform("prefix", lambda h: F.shiftright(h, 32).cast("int"))
-    info = prefixed.select("row", "n", upper.alias("prefix")).join(unlinked.select("row").distinct(), "row", "left_semi").join(reps.select("row", "sk2"), "row")
+    lists = unlinked.groupBy("row").agg(F.first("size").alias("size"), F.collect_list(F.struct("v", "class")).alias("lists"))
+    info = prefixed.select("row", "n", upper.alias("prefix")).join(lists, "row").join(reps.select("row", "sk2"), "row")
     info = stash(_roots(info, labels, "row", "root"), f"{folder}/info")
-    rest = stash(unlinked.join(info, "row"), f"{folder}/rest")
+    rest = info.select("row", "n", "size", "root", "prefix", "sk2", F.explode("lists").alias("l")).select("row", "n", "size", "root", "prefix", "sk2", "l.v", "l.class")
     x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
     agree = (x("v") == y("v")) & (x("class") == y("class")) & (F.greatest(x("size"), y("size")) == x("class")) & (x("row") > y("row")) & (x("root") != y("root")) & fit(x("n"), y("n"), t)
     agree = agree & (F.get(F.array_intersect(x("prefix"), y("prefix")), F.lit(0)) == F.shiftright(x("v"), 32).cast("int"))
