@@ -185,10 +185,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # one, where the smaller one stands too if its own class is the same or the one below.
     size = F.floor(F.log("n") / (math.log(1 / t) * (1 + 1e-9))).cast("int")
     unlinked = prefixed.select("row", size.alias("size"), F.explode("prefix").alias("v")).join(hubs.select("v", "hub"), "v").filter("row <> hub")
-    unlinked = stash(unlinked.join(done, ["row", "hub"], "left_anti").select("v", "row", F.explode(F.array("size", F.col("size") + 1)).alias("class"), "size"), f"{folder}/unlinked")
+    unlinked = stash(unlinked.join(done, ["row", "hub"], "left_anti").select("v", "row", "size"), f"{folder}/unlinked")
+    several = unlinked.groupBy("v").agg(F.count(F.lit(1)).alias("s")).filter("s > 1").select("v")
+    unlinked = unlinked.join(several, "v", "left_semi").select("v", "row", "size", F.explode(F.array("size", F.col("size") + 1)).alias("class"))
+    unlinked = stash(unlinked, f"{folder}/classes")
     several = unlinked.groupBy("v", "class").agg(F.count(F.lit(1)).alias("s"), F.count_if(F.col("size") == F.col("class")).alias("own")).filter("s > 1 AND own > 0").select("v", "class")
     unlinked = stash(unlinked.join(several, ["v", "class"], "left_semi"), f"{folder}/several")
-    remove(spark, f"{folder}/unlinked")
+    remove(spark, f"{folder}/unlinked", f"{folder}/classes")
     release(spark)
     upper = F.transform("prefix", lambda h: F.shiftright(h, 32).cast("int"))
     lists = unlinked.groupBy("row").agg(F.first("size").alias("size"), F.collect_list(F.struct("v", "class")).alias("lists"))
