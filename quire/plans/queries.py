@@ -521,9 +521,8 @@ def macron_unify(spark, d):
 
 @query()
 def sequence_ratio(spark, d):
-    """Similarity of the first lines of two readings."""
-    first = lambda c: F.split_part(F.col(c), F.lit("\n"), F.lit(1))
-    p = fx.pairs(spark, d).filter(F.col("a") != F.col("b")).select("doc_id", F.round(udfs.sequence_ratio(first("a"), first("b")), 6).alias("ratio"), "a", "b")
+    """Similarity of two whole readings."""
+    p = fx.pairs(spark, d).filter(F.col("a") != F.col("b")).select("doc_id", F.round(udfs.sequence_ratio("a", "b"), 6).alias("ratio"), "a", "b")
     return p.select("doc_id", "ratio", reconcile.difference(F.col("a"), F.col("b"), F.col("ratio")).alias("category"))
 
 
@@ -551,11 +550,10 @@ def run_disagreement(spark, d):
 
 @query()
 def run_similarity(spark, d):
-    """The same with similarities of the first lines."""
+    """The same with similarities of the whole readings, stripped as they are compared."""
     from ..operators import reports
 
-    first = lambda c: F.split_part(F.col(c), F.lit("\n"), F.lit(1))
-    p = fx.pairs(spark, d).withColumn("ratio", udfs.sequence_ratio(first("a"), first("b")))
+    p = fx.pairs(spark, d).withColumn("ratio", udfs.sequence_ratio(text.strip(F.col("a")), text.strip(F.col("b"))))
     return reports.disagreement(p, ["source"], "a", "b", F.col("ratio"))
 
 
