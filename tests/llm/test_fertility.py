@@ -60,3 +60,23 @@ def test_junk_goes_and_prose_stays(spark):
     rows = [r for r in fertility.op3_fertility(spark, sf).collect() if r.doc_id in quality and not r.base_failed]
     good, bad = ([r.kept for r in rows if quality[r.doc_id] == q] for q in (1, 0))
     assert all(good) and sum(bad) < 0.5 * len(bad)
+
+
+def test_bands_of_each_language(spark):
+    """On labels that didn't set the bands (odd doc_id)."""
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet").filter("doc_id % 2 = 1").select("doc_id", "quality")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").join(labels, "doc_id")
+    rows = [r for r in fertility.measure_quality(docs, VOCABULARY, ["doc_id", "lang", "quality"]).collect() if not r.base_failed]
+    for lang in ("en", "fr", "de", "es"):
+        good, bad = ([r.kept for r in rows if r.lang == lang and r.quality == q] for q in (1, 0))
+        assert sum(good) >= 0.99 * len(good) and sum(bad) <= 0.15 * len(bad), (lang, len(good), sum(good), len(bad), sum(bad))
+
+
+def test_each_measure_rejects():
+    least, _, share, entropy, _, _ = band = fertility.BANDS["es"]
+    n = 10_000
+    assert fertility.in_band(band, int((least + 0.05) * n), n, 0, entropy, 50)
+    assert not fertility.in_band(band, int((least - 0.05) * n), n, 0, entropy, 50)
+    assert not fertility.in_band(band, int((least + 0.05) * n), n, int((share + 0.01) * n), entropy, 50)
+    assert not fertility.in_band(band, int((least + 0.05) * n), n, 0, entropy - 0.2, 50)
