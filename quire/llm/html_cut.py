@@ -55,25 +55,27 @@ ADJACENT, SIBLING, TOGETHER = 0.5, 0.8, 0.4
 
 
 class Block:
-    __slots__ = ("home", "away", "linked", "parent", "parts", "section", "tag")
+    __slots__ = ("home", "away", "linked", "parent", "parts", "past", "section", "tag")
 
     def __init__(self, tag, parent, section, home, away):
         self.tag, self.parent, self.section, self.home, self.away = tag, parent, section, home, away
-        self.parts, self.linked = [], 0
+        self.parts, self.linked, self.past = [], 0, set()
 
 
 def blocks_of(html: str) -> list[tuple[Block, str]]:
     """Text blocks in page order."""
     found: list[Block] = []
-    # Open elements: (tag, number, number of its section, home, away, not text).
-    stack: list[tuple] = [("", 0, 0, False, 0.0, False)]
+    # Open elements: (tag, number, number of its section, home, away, not text, worded, past).  worded: numbers
+    # of the open elements with an away word; past: those of them with an article or main in between.
+    stack: list[tuple] = [("", 0, 0, False, 0.0, False, (), ())]
+    inside: dict[int, int] = {}  # characters in elements with an away word; 0: in the page
     number, at, block, link, n = 0, 0, None, 0, len(html)
 
     def text(a: int, b: int) -> None:
         nonlocal block
         if a >= b:
             return
-        tag, own, section, home, away, off = stack[-1]
+        tag, own, section, home, away, off, worded, past = stack[-1]
         if off:
             return
         t = html[a:b]
@@ -87,7 +89,10 @@ def blocks_of(html: str) -> list[tuple[Block, str]]:
             found.append(block)
         t = unescape(t) if "&" in t else t
         block.parts.append(t)
-        block.away = max(block.away, away)
+        block.away = max(block.away, 8.0 if len(worded) > len(past) else away)
+        block.past.update(past)
+        for k in (0, *worded):
+            inside[k] = inside.get(k, 0) + len(t)
         if link:
             block.linked += len(t)
 
@@ -133,7 +138,9 @@ def blocks_of(html: str) -> list[tuple[Block, str]]:
         if name in VOID:
             continue
         number += 1
-        _, _, section, home, away, off = stack[-1]
+        _, _, section, home, away, off, worded, past = stack[-1]
+        if name in HOME_TAGS:
+            past = worded
         attributes = m.group(3)
         if "=" in attributes or "hidden" in attributes.lower():
             for key, x, y, z in ATTRIBUTE.findall(attributes):
@@ -143,7 +150,8 @@ def blocks_of(html: str) -> list[tuple[Block, str]]:
                 elif name != "body" and name != "html":
                     words = WORDS.findall(value)
                     if not AWAY_WORDS.isdisjoint(words):
-                        away = max(away, 8.0)
+                        if number not in worded:
+                            worded = (*worded, number)
                     elif not HOME_WORDS.isdisjoint(words):
                         home = True
         if name in AWAY_TAGS or name == "header" and not any(s[0] in HOME_TAGS for s in stack):
@@ -157,11 +165,14 @@ def blocks_of(html: str) -> list[tuple[Block, str]]:
             close = re.compile(rf"</{name}\b[^>]*>", re.I).search(html, at)
             at = close.end() if close else n
             continue
-        stack.append((name, number, section, home, away, off))
+        stack.append((name, number, section, home, away, off, worded, past))
         if name == "a":
             link += 1
     out = []
     for b in found:
+        # A word on what holds most of the page is about the layout, and says nothing of an article in it.
+        if any(2 * inside[k] <= inside[0] for k in b.past):
+            b.away = max(b.away, 8.0)
         t = " ".join("".join(b.parts).split())
         if t:
             out.append((b, t))

@@ -65,3 +65,16 @@ def test_generated_pages(spark, sf):
         blocks = [" ".join(unescape(re.sub("</?b>", "", b).replace("<br>", " ")).split()) for b in re.split("</?(?:p|h1)>", article)]
         assert r.text == "\n".join(b for b in blocks if b)
     assert F is not None
+
+
+@pytest.mark.parametrize("name", ["layout has-sidebar", "no-ads", "with-comments"])
+def test_away_word_around_the_whole_page(name):
+    lines = [f"Paragraph {i} of the article, with some words in it." for i in range(12)]
+    body = "<article>" + "".join(f"<p>{x}</p>" for x in lines) + "<div class=related><p>Read this as well, please.</p></div></article>"
+    page = PAGE.replace("<body>", f'<body><div class="{name}">').replace("</body>", "</div></body>")
+    assert html_cut.main_text(page % body) == "\n".join(lines)
+
+
+def test_articles_in_a_small_away_element_stay_out():
+    body = "<article>" + "<p>A paragraph of the article itself, with words.</p>" * 12 + "</article><div class=related><article><p>A teaser of another story, to be read later.</p></article></div>"
+    assert "teaser" not in html_cut.main_text(PAGE % body)
