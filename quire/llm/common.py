@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
+from typing import ClassVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 
 #: Characters that part words, lines' ends to strip; and the words themselves.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -23,10 +26,13 @@ def ascii_lower(c: Column) -> Column:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of our own only where that is unset (tests)."""
+    """The folder in spark.checkpoint.dir.  Where that is unset: a folder of our own with a local
+    master (tests), an error with any other, as executors would not see it."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     root = getattr(shared_root, "own", None)
     if root is None:
         path = tempfile.mkdtemp(prefix="quire-")
@@ -53,6 +59,72 @@ def remove(spark: SparkSession, *paths: str) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+class Workspace:
+    """The folder of one run below the shared folder.  It goes at the end, also after a failure; what
+    ``result`` stores stays until the program ends, as the rows returned are read from there."""
+
+    kept: ClassVar[list[tuple[SparkSession, str]]] = []
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark, self.label, self.folder = spark, label, new_folder(spark, label)
+
+    def __enter__(self) -> Workspace:
+        return self
+
+    def __exit__(self, kind, *_) -> None:
+        with contextlib.suppress(*((Exception,) if kind else ())):  # a failed run's own error matters more
+            remove(self.spark, self.folder)
+
+    def path(self, name: str) -> str:
+        return f"{self.folder}/{name}"
+
+    def stash(self, df: DataFrame, name: str) -> DataFrame:
+        return stash(df, self.path(name))
+
+    def drop(self, *names: str) -> None:
+        remove(self.spark, *map(self.path, names))
+
+    def result_folder(self) -> str:
+        """A folder beside this one, removed at the program's end."""
+        if not self.kept:
+            atexit.register(self._forget)
+        path = new_folder(self.spark, f"{self.label}-result")
+        self.kept.append((self.spark, path))
+        return path
+
+    def result(self, df: DataFrame) -> DataFrame:
+        return stash(df, self.result_folder())
+
+    @classmethod
+    def _forget(cls) -> None:
+        for spark, path in cls.kept:
+            with contextlib.suppress(Exception):  # the JVM may be gone
+                remove(spark, path)
+
+
+def fresh(name: str, taken: list[str]) -> str:
+    """name, with as many underscores behind it as make it differ from all names taken."""
+    lowered = {t.lower() for t in taken}
+    while name.lower() in lowered:
+        name += "_"
+    return name
+
+
+def whole(name: str = "row") -> Column:
+    """All columns as one struct, so that no column of ours can clash with one of theirs."""
+    return F.struct("*").alias(name)
+
+
+def row_key(docs: DataFrame, row: str = "row") -> Column:
+    """128 bits of all columns of the struct ``row`` (of docs' columns): rows with one key are equal in
+    every column and can stand for each other.  Nulls count, also within nested values."""
+    parts = []
+    for f in docs.schema.fields:
+        c = F.col(row)[f.name]
+        parts += [c.isNull(), c if isinstance(f.dataType, AtomicType) else F.to_json(F.struct(c.alias("v")), {"ignoreNullFields": "false"})]
+    return F.struct(F.xxhash64(F.lit(1), *parts).alias("k1"), F.xxhash64(F.lit(7), *parts).alias("k2"))
+
+
 def release(spark: SparkSession) -> None:
     """Ask the driver's JVM to drop shuffle files that nothing refers to any more."""
     spark.sparkContext._jvm.System.gc()

@@ -12,7 +12,8 @@ A key's 128 bits are two differently seeded xxhash64 values.
 
 Defined results: null or empty text is one empty line; null doc_id ranks after all ids, and
 such rows count as one document; rows that share a doc_id count as one document, each keeping
-its own line numbers; an empty table gives no rows; other columns are ignored.
+its own line numbers and counts, also where the rows are equal; an empty table gives no rows; other
+columns stay as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, LAST_ID, ascii_lower, new_folder, release, remove, shuffle_width, stash, table
+from .common import BLANKS, LAST_ID, Workspace, ascii_lower, fresh, release, shuffle_width, table, whole
 
 KEY = ["h1", "h2"]
 
@@ -103,63 +104,67 @@ def batch_bounds(docs: DataFrame, id_col: str, batches: int) -> list[int]:
 
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, batches: int = 4, fanout: int = 3) -> DataFrame:
-    """(doc, version, pos) of every line that goes."""
-    spark, folder = docs.sparkSession, new_folder(docs.sparkSession, "lines")
+    """(doc, version, pos) of every line that goes; equal rows of one document come more than once."""
+    spark = docs.sparkSession
     bounds = batch_bounds(docs, id_col, batches)
     batch = F.lit(0)
     for b in bounds:
         batch = batch + (F.col("doc") > b).cast("int")
     found = line_occurrences(docs, id_col, text_col, min_chars).withColumn("batch", batch)
-    found.write.partitionBy("batch").parquet(f"{folder}/found")
-    spark_read = spark.read.schema(found.schema)
     runs = LineRuns(spark, fanout)
-    for b in range(len(bounds) + 1):
-        mine = spark_read.parquet(f"{folder}/found").filter(F.col("batch") == b).drop("batch")
-        keys = mine.groupBy(*KEY).agg(F.min("doc").alias("owner"), (F.min("doc") < F.max("doc")).alias("many"))
-        owned = stash(runs.add(keys).filter("known or many").select(*KEY, "owner"), f"{folder}/owned-{b}")
-        mine.join(owned, KEY).filter("doc <> owner").select("doc", "version", "pos").write.parquet(f"{folder}/gone/b={b}")
-        runs.compact()
-    runs.close()
-    remove(spark, f"{folder}/found", *(f"{folder}/owned-{b}" for b in range(len(bounds) + 1)))
+    with Workspace(spark, "lines") as work:
+        gone = work.result_folder()
+        try:
+            found.write.partitionBy("batch").parquet(work.path("found"))
+            stored = spark.read.schema(found.schema).parquet(work.path("found"))
+            for b in range(len(bounds) + 1):
+                mine = stored.filter(F.col("batch") == b).drop("batch")
+                keys = mine.groupBy(*KEY).agg(F.min("doc").alias("owner"), (F.min("doc") < F.max("doc")).alias("many"))
+                owned = work.stash(runs.add(keys).filter("known or many").select(*KEY, "owner"), f"owned-{b}")
+                mine.join(owned, KEY).filter("doc <> owner").select("doc", "version", "pos").write.parquet(f"{gone}/b={b}")
+                runs.compact()
+        finally:
+            runs.close()
     release(spark)
-    return spark.read.schema("doc long, version long, pos int").parquet(*(f"{folder}/gone/b={b}" for b in range(len(bounds) + 1)))
+    return spark.read.schema("doc long, version long, pos int").parquet(*(f"{gone}/b={b}" for b in range(len(bounds) + 1)))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, batches: int = 4, fanout: int = 3) -> DataFrame:
-    """docs with two more columns: ``lines_before`` and ``lines_dropped``; the text keeps the other lines.
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, batches: int = 4, fanout: int = 3, into: str = "lines") -> DataFrame:
+    """docs, whose text keeps the other lines, and as last column a struct of ``before`` and ``dropped``
+    lines (long).  It is named ``into``, with underscores behind where docs have that name already.
 
     Every row stays, even one that loses all its lines (its text is then empty)."""
-    gone = dropped_lines(docs, id_col, text_col, min_chars, batches, fanout).groupBy("doc", "version").agg(F.collect_list("pos").alias("gone__"))
+    gone = dropped_lines(docs, id_col, text_col, min_chars, batches, fanout).groupBy("doc", "version").agg(F.collect_set("pos").alias("gone"))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.withColumns({"doc__": F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)), "version__": F.xxhash64(text)})
-    joined = keyed.join(gone.withColumnsRenamed({"doc": "doc__", "version": "version__"}), ["doc__", "version__"], "left")
-    joined, lines = joined.withColumn("lines__", F.split(text, "\n", -1)), F.col("lines__")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone__"))
-    new_text = F.when(F.col("gone__").isNull(), text).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
-    done = joined.withColumns({"lines_before": F.size(lines).cast("long"), "lines_dropped": F.coalesce(F.size("gone__"), F.lit(0)).cast("long"), "text__": new_text})
-    return done.drop(text_col).withColumnRenamed("text__", text_col).select(*docs.columns, "lines_before", "lines_dropped")
+    keyed = docs.select(whole(), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("doc"), text.alias("text"), F.xxhash64(text).alias("version"))
+    joined, lines = keyed.join(gone, ["doc", "version"], "left").withColumn("lines", F.split("text", "\n", -1)), F.col("lines")
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
+    new_text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
+    counts = F.struct(F.size(lines).cast("long").alias("before"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("dropped"))
+    done = joined.select(F.col("row").withField(text_col, new_text).alias("row"), counts.alias("counts"))
+    return done.select("row.*", F.col("counts").alias(fresh(into, docs.columns)))
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return dedup_lines(docs).select("doc_id", F.col("lines_before").alias("n_lines"), F.col("lines_dropped").alias("n_dropped"), F.sha2(F.col("text"), 256).alias("kept_sha256"))
+    return dedup_lines(docs).select("doc_id", F.col("lines.before").alias("n_lines"), F.col("lines.dropped").alias("n_dropped"), F.sha2(F.col("text"), 256).alias("kept_sha256"))
 
 
 SQL = """
-WITH l AS (
-  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
-         unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos
-  FROM documents
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, 9223372036854775807) AS doc, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents
+), l AS (
+  SELECT r, doc_id, doc, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM d
 ), k AS (
   SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
                       'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l
 ), o AS (
-  SELECT key, min(doc_id) AS owner FROM k WHERE length(key) >= 10
-  GROUP BY key HAVING count(DISTINCT doc_id) > 1
+  SELECT key, min(doc) AS owner FROM k WHERE length(key) >= 10
+  GROUP BY key HAVING count(DISTINCT doc) > 1
 ), m AS (
-  SELECT k.*, o.owner IS NOT NULL AND o.owner <> k.doc_id AS gone FROM k LEFT JOIN o USING (key)
+  SELECT k.*, o.owner IS NOT NULL AND o.owner <> k.doc AS gone FROM k LEFT JOIN o USING (key)
 )
 SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE gone)::BIGINT AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
-FROM m GROUP BY doc_id
+FROM m GROUP BY r, doc_id
 """
