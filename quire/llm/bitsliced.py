@@ -9,12 +9,19 @@ are added three at a time by full adders (sum and carry bitmaps) until one is le
 taken from the most significant slice downward: rows that are surely in, rows still tied.
 Boundary ties go to the smallest ids, which are the first set bits.
 
-Every query meets every block: blocks of queries and blocks of rows are paired by tile keys in an
-equi-join, so a task holds one block of each; the k best of each block are merged by query.
+Every query meets every block.  Queries are cut into groups; a task takes a group and a run of
+blocks, one after the other, so a block is copied once per group and a group once per run.  Blocks
+and groups are cut by bytes of their integers (sent as one, two, four or eight bytes a component), and groups
+are made smaller where there would be fewer tasks than cores.  A block whose bound (the best score
+that its least and greatest values allow) stays below the k-th score that the query has from the
+blocks before is skipped.  The k best of each block are merged by query row.
 
 Defined results: vectors that are null, empty, or hold null or non-finite components take no
-part; rows that share an id count once (the smallest vector stands); vectors are compared with
+part, nor do rows without an id; rows that share an id are rows of their own, as queries and as
+candidates, and only a query's own row is left out of its candidates; vectors are compared with
 those of the same length only; a query with no candidates gives no rows; an empty table too.
+So that every score fits 63 bits, a quantised component beyond isqrt(2^62 / length) either way (2^28 for
+64 components) counts as that bound.
 """
 
 from __future__ import annotations
@@ -26,15 +33,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import new_folder, stash, table
+from .common import Workspace, table
 
 
 def quantised(vector: Column, scale: float) -> Column:
-    """floor(scale * x) of each component; null where the vector takes no part."""
+    """floor(scale * x) of each component within the bounds; null where the vector takes no part."""
     doubles = F.transform(vector, lambda x: x.cast("double"))
     bad = F.exists(doubles, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    most = F.floor(F.sqrt(F.lit(float(1 << 62)) / F.size(vector))).cast("double")
     fits = F.size(vector) > 0
-    return F.when(fits & ~F.coalesce(bad, F.lit(True)), F.transform(doubles, lambda x: F.floor(x * scale).cast("long")))
+    return F.when(fits & ~F.coalesce(bad, F.lit(True)), F.transform(doubles, lambda x: F.greatest(-most, F.least(most, F.floor(x * scale).cast("double"))).cast("long")))
 
 
 class Slices:
@@ -42,7 +50,8 @@ class Slices:
 
     def __init__(self, values: np.ndarray):
         self.rows, self.width = len(values), -(-len(values) // 64)
-        self.least = values.min(axis=0) if self.rows else np.zeros(values.shape[1], np.int64)
+        values = values.astype(np.int64)
+        self.least, self.most = (values.min(axis=0), values.max(axis=0)) if self.rows else (np.zeros(values.shape[1], np.int64),) * 2
         shifted = values - self.least
         self.all = self._bitmap(np.ones(self.rows, bool))
         self.slices, self.inverse, self.top = [], [], []
@@ -104,6 +113,10 @@ class Slices:
             weight += 1
         return out, constant
 
+    def bounds(self, queries: np.ndarray) -> np.ndarray:
+        """For each query a score that no row exceeds."""
+        return np.maximum(queries * self.least, queries * self.most).sum(axis=1)
+
     def best(self, query: list[int], k: int, own: int | None) -> tuple[np.ndarray, np.ndarray]:
         """(row numbers, scores) of the k best rows but own, ties to smaller rows."""
         slices, constant = self.scores(query)
@@ -133,58 +146,85 @@ class Slices:
         return np.flatnonzero(np.unpackbits(bitmap.view(np.uint8), bitorder="little"))
 
 
-def _search(k: int, dims_at: str = "dims"):
+def _search(k: int):
+    """Tiles in, sorted so that rows of one tile follow each other: its queries first, then blocks."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, queries, reached = None, [], []
         for batch in batches:
-            for dims, ids, values, asked, queries in zip(*(batch[c].to_pylist() for c in (dims_at, "ids", "vectors", "query_ids", "queries")), strict=True):
-                ids, asked = np.frombuffer(ids, "<i8"), np.frombuffer(asked, "<i8")
-                index = Slices(np.frombuffer(values, "<i8").reshape(-1, dims))
-                place, found = {int(v): r for r, v in enumerate(ids)}, ([], [], [])
-                for q, vector in zip(asked, np.frombuffer(queries, "<i8").reshape(-1, dims), strict=True):
-                    rows, scores = index.best(vector.tolist(), k, place.get(int(q)))
-                    found[0].append(np.full(len(rows), q, np.int64))
-                    found[1].append(ids[rows])
-                    found[2].append(scores)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for x in found], ["query_id", "vec_id", "score"])
+            for dims, run_, group, kind, width, rows, ids, vectors in zip(*(batch[c].to_pylist() for c in ("dims", "run", "group", "kind", "width", "rows", "ids", "vectors")), strict=True):
+                if (dims, run_, group) != tile:
+                    tile, queries, reached = (dims, run_, group), [], []
+                rows, ids, vectors = np.frombuffer(rows, "<i8"), np.frombuffer(ids, "<i8"), np.frombuffer(vectors, f"<i{width}").reshape(-1, dims)
+                if not kind:
+                    queries.append((rows, ids, vectors.astype(np.int64)))
+                    reached.append(np.full(len(rows), np.iinfo(np.int64).min))
+                    continue
+                index, place, found = Slices(vectors), {int(r): i for i, r in enumerate(rows)}, ([], [], [], [])
+                for (asked, names, own), least in zip(queries, reached, strict=True):
+                    for i in np.flatnonzero(index.bounds(own) >= least):
+                        at, scores = index.best(own[i].tolist(), k, place.get(int(asked[i])))
+                        if len(scores) == k:
+                            least[i] = max(least[i], scores.min())
+                        for out, x in zip(found, (np.full(len(at), asked[i]), np.full(len(at), names[i]), ids[at], scores), strict=True):
+                            out.append(x)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for x in found], ["query_row", "query_id", "vec_id", "score"])
 
     return run
 
 
 def _pack(batches):
-    """Arrays of one block to one row: ids, and vectors row by row."""
+    """Arrays of one block to one row: row numbers, ids, and vectors row by row, in order of id."""
     for batch in batches:
-        ids, vectors = [], []
-        for dims, rows in zip(batch["dims"].to_pylist(), batch["rows"], strict=True):
+        out = ([], [], [], [])
+        for dims, rows in zip(batch["dims"].to_pylist(), batch["members"], strict=True):
             own = rows.values
-            order = np.argsort(own.field("vec_id").to_numpy(), kind="stable")
-            ids.append(own.field("vec_id").to_numpy()[order].astype("<i8").tobytes())
-            vectors.append(own.field("v").flatten().to_numpy().reshape(-1, dims)[order].astype("<i8").tobytes())
-        yield pa.RecordBatch.from_arrays([batch["dims"], batch["block"], pa.array(ids, pa.binary()), pa.array(vectors, pa.binary())], ["dims", "block", "ids", "vectors"])
-
-
-def blocks_of(vectors: DataFrame, block_rows: int) -> DataFrame:
-    """vectors: (vec_id, v, dims) -> (dims, block, ids, vectors): a row per block of about block_rows."""
-    n = max(1, -(-vectors.count() // block_rows))
-    placed = vectors.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int"))
-    gathered = placed.groupBy("dims", "block").agg(F.collect_list(F.struct("vec_id", "v")).alias("rows"))
-    return gathered.select("dims", "block", "rows").mapInArrow(_pack, "dims int, block int, ids binary, vectors binary")
-
-
-def top_k(vectors: DataFrame, k: int = 20, scale: float = 64.0, is_query: Column | None = None, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = 65536, query_rows: int = 512) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k best other rows of each query."""
-    spark, folder = vectors.sparkSession, new_folder(vectors.sparkSession, "topk")
-    v = vectors.select(F.col(id_col).cast("long").alias("vec_id"), quantised(F.col(vector_col), scale).alias("v")).filter(F.col("v").isNotNull() & F.col("vec_id").isNotNull())
-    v = stash(v.groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("dims", F.size("v")), f"{folder}/vectors")
-    asked = v.filter(F.col("vec_id") % 20 == 0 if is_query is None else is_query)
-    index, queries = stash(blocks_of(v, block_rows), f"{folder}/index"), stash(blocks_of(asked, query_rows), f"{folder}/queries")
-    n_blocks, n_queries = (x.agg(F.coalesce(F.max("block"), F.lit(-1))).first()[0] + 1 for x in (index, queries))
-    tiles_of = lambda x, n, name: x.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(max(0, n - 1)))))
-    left = tiles_of(index.withColumnRenamed("block", "b"), n_queries, "q")
-    right = tiles_of(queries.withColumnsRenamed({"block": "q", "ids": "query_ids", "vectors": "queries"}), n_blocks, "b")
-    tiles = left.join(right, ["dims", "b", "q"]).select("dims", "ids", "vectors", "query_ids", "queries").repartition(max(1, n_blocks * n_queries))
-    best = tiles.mapInArrow(_search(k), "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
-    return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+            number, name = own.field("r").to_numpy(), own.field("vec_id").to_numpy()
+            order = np.lexsort((number, name))
+            v = own.field("v").flatten().to_numpy().reshape(-1, dims)[order]
+            width = next(w for w in (1, 2, 4, 8) if w == 8 or not len(v) or (v.min() >= -(1 << 8 * w - 1) and v.max() < 1 << 8 * w - 1))
+            for x, y in zip(out, (width, number[order].astype("<i8").tobytes(), name[order].astype("<i8").tobytes(), v.astype(f"<i{width}").tobytes()), strict=True):
+                x.append(y)
+        columns = [pa.array(x, pa.int32() if i == 0 else pa.binary()) for i, x in enumerate(out)]
+        yield pa.RecordBatch.from_arrays([batch["dims"], batch["block"], *columns], ["dims", "block", "width", "rows", "ids", "vectors"])
+
+
+def blocks_of(vectors: DataFrame, sizes: dict[int, int], least_blocks: int, block_bytes: int, most_rows: int) -> DataFrame:
+    """vectors: (r, vec_id, v, dims) -> a row per block.  sizes: rows by dims; a block holds about block_bytes of
+    eight-byte components and most_rows rows at most, and there are least_blocks of each dims, where rows allow it."""
+    n = F.lit(1)
+    for dims, rows in sizes.items():  # one entry per length of vectors
+        blocks = max(least_blocks, -(-rows * 8 * dims // block_bytes), -(-rows // most_rows))
+        n = F.when(F.col("dims") == dims, F.lit(min(blocks, max(1, rows)))).otherwise(n)
+    placed = vectors.withColumn("block", F.pmod(F.xxhash64("r"), n).cast("int"))
+    gathered = placed.groupBy("dims", "block").agg(F.collect_list(F.struct("r", "vec_id", "v")).alias("members"))
+    return gathered.select("dims", "block", "members").mapInArrow(_pack, "dims int, block int, width int, rows binary, ids binary, vectors binary")
+
+
+def top_k(vectors: DataFrame, k: int = 20, scale: float = 64.0, is_query: Column | None = None, id_col: str = "vec_id", vector_col: str = "embedding", block_bytes: int = 1 << 25, block_rows: int = 65536, block_run: int = 8, group_bytes: int = 1 << 25, group_rows: int = 65536) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k best other rows of each query row."""
+    spark = vectors.sparkSession
+    picked = vectors.select(F.col(id_col).cast("long").alias("vec_id"), quantised(F.col(vector_col), scale).alias("v"))
+    with Workspace(spark, "topk") as work:
+        v = work.stash(picked.filter("v IS NOT NULL AND vec_id IS NOT NULL").withColumns({"dims": F.size("v"), "r": F.monotonically_increasing_id()}), "vectors")
+        asked = F.col("vec_id") % 20 == 0 if is_query is None else is_query
+        counted = v.groupBy("dims").agg(F.count(F.lit(1)).alias("n"), F.count_if(asked).alias("asked")).collect()  # a row per length
+        rows, queries = {r["dims"]: r["n"] for r in counted}, {r["dims"]: r["asked"] for r in counted}
+        index = work.stash(blocks_of(v, rows, 1, block_bytes, block_rows), "index")
+        runs = -(-index.count() // block_run)
+        wanted = -(-3 * spark.sparkContext.defaultParallelism // max(1, runs))
+        groups = work.stash(blocks_of(v.filter(asked), queries, wanted, group_bytes, group_rows), "queries")
+        index, groups = index.withColumn("run", F.col("block") % max(1, runs)), groups.withColumnRenamed("block", "group")
+        theirs, ours = groups.groupBy("dims").agg(F.collect_set("group").alias("group")), index.groupBy("dims").agg(F.collect_set("run").alias("run"))  # numbers of blocks only
+        left = index.join(F.broadcast(theirs), "dims").withColumn("group", F.explode("group")).withColumn("kind", F.lit(1))
+        right = groups.join(F.broadcast(ours), "dims").withColumn("run", F.explode("run")).withColumn("kind", F.lit(0))
+        tile, columns = ["dims", "run", "group"], ["kind", "width", "rows", "ids", "vectors"]
+        tiles = left.select(*tile, *columns).unionByName(right.select(*tile, *columns))
+        tiles = tiles.repartition(max(1, runs * groups.count()), *tile).sortWithinPartitions(*tile, "kind")
+        best = tiles.mapInArrow(_search(k), "query_row long, query_id long, vec_id long, score long")
+        order = Window.partitionBy("query_row").orderBy(F.col("score").desc(), F.col("vec_id"))
+        ranked = best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+        return work.result(ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))
 
 
 def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -193,15 +233,15 @@ def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = """
 WITH v AS (
-  SELECT vec_id, min(list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT)) AS v FROM embeddings
-  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND vec_id IS NOT NULL
-    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
-  GROUP BY vec_id
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: greatest(-m, least(m, floor(64 * x::DOUBLE)))::BIGINT) AS v
+  FROM (SELECT *, floor(sqrt(4611686018427387904.0::DOUBLE / len(embedding))) AS m FROM embeddings
+    WHERE embedding IS NOT NULL AND len(embedding) > 0 AND vec_id IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)
 ), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
-  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+  SELECT q.r, q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.r <> c.r AND len(q.v) = len(c.v)
 )
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+  SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS rank FROM s)
 WHERE rank <= 20
 """
