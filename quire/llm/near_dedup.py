@@ -16,7 +16,9 @@ expanded into all its pairs:
    linked members; a semi-join on the full sets that asks for one partner settles it, and distances
    to the hub rule out most.
 3. Members that aren't linked to the hub still meet each other, in the first list they share,
-   if their wider sketches agree (``wide_k`` values), and are decided on full sets.
+   if their wider sketches agree (``wide_k`` values), and are decided on full sets.  A long list is
+   cut into chunks of about ``chunk`` members and its pairs of chunks are joined apart, so no list
+   lands in one task.
 
 Every pair with similarity t falls under one of the three, so connected components come out
 whole.  Components are found by hooking and pointer jumping over tables in the shared folder.
@@ -24,7 +26,8 @@ whole.  Components are found by hooking and pointer jumping over tables in the s
 Defined results: null or empty text, or text without words, is linked with nothing and kept; a
 text of fewer words than a shingle has its whole word sequence as one; copies are in one group;
 rows that share an id are rows of their own, in a group with their equals; a null id ranks
-last; an empty table gives no rows; further columns stay as they are where asked for.
+last; of rows with the least id of a group the one with the least row key stays; an empty table gives
+no rows; further columns stay as they are where asked for, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,7 +37,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, ascii_lower, new_folder, release, remove, stash, table
+from .common import BLANKS, Workspace, ascii_lower, release, remove, row_key, stash, table, whole
 
 
 def with_shingles(docs: DataFrame, words: int) -> DataFrame:
@@ -105,22 +108,26 @@ def _roots(rows: DataFrame, labels: DataFrame, name: str, root: str) -> DataFram
     return rows.join(labels.select(F.col("node").alias(name), F.col("root").alias("__r")), name, "left").withColumn(root, F.coalesce("__r", name)).drop("__r")
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, t: float = 0.8, k: int = 64, wide_k: int = 128, miss: float = 1e-7) -> DataFrame:
-    """(doc_id, n_shingles, component_id, keeper, version) for every row of docs; keeper marks one row
-    of each group, version is a hash of the text."""
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, t: float = 0.8, k: int = 64, wide_k: int = 128, miss: float = 1e-7, chunk: int = 256) -> DataFrame:
+    """(doc_id, n_shingles, component_id, keeper, k1, k2) for every row of docs; keeper marks one row
+    of each group, k1 and k2 are the key of the whole row (``row_key``)."""
     if t < 0.8:
         raise ValueError("similarities below 0.8 are not supported")
-    spark, folder = docs.sparkSession, new_folder(docs.sparkSession, "near")
+    with Workspace(docs.sparkSession, "near") as work:
+        return work.result(_groups(docs, id_col, text_col, words, t, k, wide_k, miss, chunk, work.folder))
+
+
+def _groups(docs: DataFrame, id_col: str, text_col: str, words: int, t: float, k: int, wide_k: int, miss: float, chunk: int, folder: str) -> DataFrame:
+    spark = docs.sparkSession
     sets_of = lambda d: with_shingles(d, words).withColumns({"n": F.size("set"), "c1": F.xxhash64("set"), "c2": F.xxhash64(F.lit(7), "set")})
-    plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    version = F.xxhash64(F.coalesce("text", F.lit(""))).alias("version")
+    plain = docs.select(whole("all"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("key", row_key(docs, "all")).select("doc_id", "text", "key.k1", "key.k2")
     wide_sketch = F.transform(F.slice("set", 1, wide_k), lambda h: F.shiftright(h, 32).cast("int"))  # upper halves: in the same order
-    sketched = stash(sets_of(plain).select(F.monotonically_increasing_id().alias("row"), "doc_id", version, "n", "c1", "c2", F.slice("set", 1, k).alias("sk"), wide_sketch.alias("sk2")), f"{folder}/sketches")
+    sketched = stash(sets_of(plain).select(F.monotonically_increasing_id().alias("row"), "doc_id", "k1", "k2", "n", "c1", "c2", F.slice("set", 1, k).alias("sk"), wide_sketch.alias("sk2")), f"{folder}/sketches")
 
     # Classes of equal sets.
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2", "row"))
     classes = sketched.filter("n > 0").groupBy("c1", "c2", "n").agg(least.alias("first"), F.min_by(F.struct("sk", "sk2"), "row").alias("s"))
-    reps = stash(classes.select(F.col("first.row").alias("row"), F.col("first.doc_id").alias("doc_id"), "n", "c1", "c2", "s.sk", "s.sk2"), f"{folder}/reps")
+    reps = stash(classes.select("first.row", "first.doc_id", "first.k1", "first.k2", "n", "c1", "c2", "s.sk", "s.sk2"), f"{folder}/reps")
     fat, sketched = f"{folder}/sketches", stash(sketched.drop("sk", "sk2"), f"{folder}/rows")
     remove(spark, fat)
 
@@ -148,12 +155,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def sets_for(rows: DataFrame, label: str) -> DataFrame:
         """(row, n, set) of these representatives, from their whole texts."""
-        wanted = reps.join(rows.distinct(), "row").select("row", "doc_id", F.col("c1").alias("k1"), F.col("c2").alias("k2"))
-        text = plain.withColumnRenamed("doc_id", "__id")
-        full = sets_of(text.join(wanted, F.col("__id").eqNullSafe(F.col("doc_id"))).select("row", "k1", "k2", "text"))
-        # Rows that share the id but not the set go after the write: a filter on hashes of the set
-        # before it would be pushed through every expression that makes the set.
-        out = stash(full.select("row", "n", "set", ((F.col("c1") == F.col("k1")) & (F.col("c2") == F.col("k2"))).alias("same")), f"{folder}/sets-{label}").filter("same").drop("same")
+        wanted = reps.join(rows.distinct(), "row").select("row", "k1", "k2")
+        texts = plain.join(wanted, ["k1", "k2"]).groupBy("row").agg(F.first("text").alias("text"))  # equal rows have one key
+        out = stash(sets_of(texts).select("row", "n", "set"), f"{folder}/sets-{label}")
         release(spark)
         return out
 
@@ -189,17 +193,21 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     several = unlinked.groupBy("v").agg(F.count(F.lit(1)).alias("s")).filter("s > 1").select("v")
     unlinked = unlinked.join(several, "v", "left_semi").select("v", "row", "size", F.explode(F.array("size", F.col("size") + 1)).alias("class"))
     unlinked = stash(unlinked, f"{folder}/classes")
-    several = unlinked.groupBy("v", "class").agg(F.count(F.lit(1)).alias("s"), F.count_if(F.col("size") == F.col("class")).alias("own")).filter("s > 1 AND own > 0").select("v", "class")
-    unlinked = stash(unlinked.join(several, ["v", "class"], "left_semi"), f"{folder}/several")
+    several = unlinked.groupBy("v", "class").agg(F.count(F.lit(1)).alias("s"), F.count_if(F.col("size") == F.col("class")).alias("own")).filter("s > 1 AND own > 0").select("v", "class", F.ceil(F.col("s") / chunk).cast("int").alias("chunks"))
+    unlinked = stash(unlinked.join(several, ["v", "class"]), f"{folder}/several")
     remove(spark, f"{folder}/unlinked", f"{folder}/classes")
     release(spark)
     upper = F.transform("prefix", lambda h: F.shiftright(h, 32).cast("int"))
-    lists = unlinked.groupBy("row").agg(F.first("size").alias("size"), F.collect_list(F.struct("v", "class")).alias("lists"))
+    lists = unlinked.groupBy("row").agg(F.first("size").alias("size"), F.collect_list(F.struct("v", "class", "chunks")).alias("lists"))
     info = prefixed.select("row", "n", upper.alias("prefix")).join(lists, "row").join(reps.select("row", "sk2"), "row")
     info = stash(_roots(info, labels, "row", "root"), f"{folder}/info")
-    rest = info.select("row", "n", "size", "root", "prefix", "sk2", F.explode("lists").alias("l")).select("row", "n", "size", "root", "prefix", "sk2", "l.v", "l.class")
+    rest = info.select("row", "n", "size", "root", "prefix", "sk2", F.explode("lists").alias("l")).select("row", "n", "size", "root", "prefix", "sk2", "l.*")
+    # A member goes to every pair of chunks that its own is in; a pair within a chunk meets in (chunk, chunk) only.
+    rest = rest.withColumn("own", F.pmod(F.xxhash64("row", "v"), "chunks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    rest = rest.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")}).drop("chunks", "other")
     x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
-    agree = (x("v") == y("v")) & (x("class") == y("class")) & (F.greatest(x("size"), y("size")) == x("class")) & (x("row") > y("row")) & (x("root") != y("root")) & fit(x("n"), y("n"), t)
+    agree = (x("v") == y("v")) & (x("class") == y("class")) & (x("low") == y("low")) & (x("high") == y("high")) & ((x("own") != y("own")) | (x("low") == x("high")))
+    agree = agree & (F.greatest(x("size"), y("size")) == x("class")) & (x("row") > y("row")) & (x("root") != y("root")) & fit(x("n"), y("n"), t)
     agree = agree & (F.get(F.array_intersect(x("prefix"), y("prefix")), F.lit(0)) == F.shiftright(x("v"), 32).cast("int"))
     agree = agree & (union_sketch_shared(x("sk2"), y("sk2"), wide_k) >= F.greatest(*[need_of(c("n"), wide_k, t, miss) for c in (x, y)]))
     pairs = stash(rest.alias("x").join(rest.alias("y"), agree).select(x("row").alias("row"), y("row").alias("row_")), f"{folder}/pairs")
@@ -210,21 +218,23 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     labels = components(edges.unionByName(found), f"{folder}/cc3")
 
     # Back to classes, then to all rows.
-    rooted = stash(_roots(reps.select("row", "doc_id", "n", "c1", "c2"), labels, "row", "root"), f"{folder}/rooted")
+    rooted = stash(_roots(reps.select("row", "doc_id", "k1", "k2", "n", "c1", "c2"), labels, "row", "root"), f"{folder}/rooted")
     tops = stash(rooted.groupBy("root").agg(least.alias("top")), f"{folder}/tops")
     named = stash(rooted.join(tops, "root").select("c1", "c2", "n", F.col("top.doc_id").alias("component_id"), F.col("top.row").alias("top")), f"{folder}/named")
-    out = sketched.select("row", "doc_id", "version", "n", "c1", "c2").join(named, ["c1", "c2", "n"], "left")
+    out = sketched.select("row", "doc_id", "k1", "k2", "n", "c1", "c2").join(named, ["c1", "c2", "n"], "left")
     alone = F.col("n") == 0
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), (alone | (F.col("row") == F.col("top"))).alias("keeper"), "version")
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), (alone | (F.col("row") == F.col("top"))).alias("keeper"), "k1", "k2")
 
 
 def near_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, t: float = 0.8) -> DataFrame:
     """One row of each group, with all its columns."""
-    kept = near_groups(docs, id_col, text_col, words, t).filter("keeper").select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__k"), F.col("version").alias("__v"))
-    keyed = docs.withColumns({"__k": F.coalesce(F.col(id_col).cast("string"), F.lit("")), "__v": F.xxhash64(F.coalesce(text_col, F.lit("")))})
-    return keyed.join(kept, ["__k", "__v"], "left_semi").dropDuplicates(["__k", "__v"]).select(*docs.columns)
+    kept = near_groups(docs, id_col, text_col, words, t).filter("keeper").groupBy("k1", "k2").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    keyed = docs.select(whole()).withColumn("key", row_key(docs)).select("row", "key.k1", "key.k2").join(kept, ["k1", "k2"])
+    # Equal rows have one key; more than one of them stays only where they have no words.
+    once = keyed.dropDuplicates(["k1", "k2"])
+    return once.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n")))).select("row.*")
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    groups = near_groups(table(spark, sf_dir, "documents"), words=2)
+    groups = near_groups(table(spark, sf_dir, "documents").select("doc_id", "text"), words=2)
     return groups.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))

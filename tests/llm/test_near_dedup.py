@@ -31,8 +31,8 @@ def brute(rows, k, t=0.8):
     return sorted((str(d), len(sets[i]), str(None if least[find(i)][0] else least[find(i)][1])) for i, (d, *_) in enumerate(rows))
 
 
-def got(df, k):
-    return sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in near_dedup.near_groups(df, words=k).collect())
+def got(df, k, **options):
+    return sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in near_dedup.near_groups(df, words=k, **options).collect())
 
 
 def test_cases(spark):
@@ -41,7 +41,9 @@ def test_cases(spark):
     assert near_dedup.near_groups(cases.empty(spark)).count() == 0
     kept = near_dedup.near_representatives(cases.documents(spark), words=5)
     assert kept.columns == cases.documents(spark).columns
-    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(["1", "3", "4", "5", "6", "None", "8", "9", "10"])
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(["1", "3", "4", "5", "6", "None", "8", "9", "10", "11", "12", "13", "13"])
+    again = near_dedup.near_representatives(cases.documents(spark).repartition(5), words=5)
+    assert sorted(map(str, kept.collect())) == sorted(map(str, again.collect()))
 
 
 def test_chains_and_hot_groups(spark):
@@ -58,7 +60,21 @@ def test_chains_and_hot_groups(spark):
     for _ in range(60):
         rows.append((len(rows), " ".join(["the", "of"] * 5 + [rnd.choice(vocabulary) for _ in range(rnd.randrange(0, 40))]), "en", "s", 1))
     rnd.shuffle(rows)
+    for chunk in (256, 4):
+        assert got(cases.documents(spark, rows), 2, chunk=chunk) == brute(rows, 2)
+
+
+def test_null_ids_and_rows_without_words(spark):
+    rows = [(None, cases.words(40, i % 3), "en", "s", 1) for i in range(9)] + [(None, "", "en", "s", 1)] * 3 + [(4, None, "en", "s", 1)] * 2
     assert got(cases.documents(spark, rows), 2) == brute(rows, 2)
+    assert near_dedup.near_representatives(cases.documents(spark, rows)).count() == 3 + 3 + 2
+
+
+def test_rows_that_differ_in_one_column(spark):
+    """The least row key decides, in whatever order the rows come."""
+    rows = [(1, cases.words(40), lang, "s", 1) for lang in ("en", "fr", "de")]
+    left = {tuple(near_dedup.near_representatives(cases.documents(spark, r).coalesce(1)).collect()) for r in (rows, rows[::-1])}
+    assert len(left) == 1 and len(next(iter(left))) == 1
 
 
 def test_bounds():
