@@ -19,7 +19,8 @@ Each worker keeps a bounded table of words and their tokens, and tokenizes new o
 
 Defined results: null or empty text has no words, and fails the base rule; an unknown or null
 language goes by the script of most letters, a text without letters by the default band; rows
-are independent, so ties, repeated rows and null ids change nothing; an empty table gives no rows.
+are independent, so ties, repeated rows and null ids change nothing; an empty table gives no rows;
+further columns stay as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, WORD, table
+from .common import BLANKS, WORD, fresh, table
 from .pieces import slices
 
 _WORD = re.compile(WORD)
@@ -155,7 +156,7 @@ def _measure(vocabulary: str, bands: dict, least_words: int, most_repeated: int,
         for batch in batches:
             for i, j in slices(len(batch)):
                 part = batch.slice(i, j - i)
-                texts, langs = [t or "" for t in part["__text"].to_pylist()], part["__lang"].to_pylist()
+                texts, langs = [t or "" for t in part["text"].to_pylist()], part["lang"].to_pylist()
                 words = [_WORD.findall(t) for t in texts]
                 rows = []
                 for text, own, ids, lang in zip(texts, words, tokens.of(words), langs, strict=True):
@@ -166,22 +167,27 @@ def _measure(vocabulary: str, bands: dict, least_words: int, most_repeated: int,
                     kept = not failed and in_band(band, chars, len(ids), byte_tokens, entropy, least_tokens)
                     rows.append((n, chars, sum(map(text.count, SYMBOLS)), duplicate_lines(text), repeated, len(ids), byte_tokens, entropy, failed, kept))
                 columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64()] * 7 + [pa.float64(), pa.bool_(), pa.bool_()], strict=True)]
-                kept_columns = [part.column(k) for k in range(part.num_columns - 2)]
-                yield pa.RecordBatch.from_arrays([*kept_columns, *columns], [*part.schema.names[:-2], *MEASURES, "token_entropy", "base_failed", "kept"])
+                figures = pa.StructArray.from_arrays(columns, [*MEASURES, "token_entropy", "base_failed", "kept"])
+                yield pa.RecordBatch.from_arrays([part["row"], figures], ["row", "figures"])
 
     return run
 
 
-def measure_quality(docs: DataFrame, vocabulary: str, keep: list[str], text_col: str = "text", lang_col: str | None = "lang", bands: dict | None = None, least_words: int = 50, most_repeated: int = 50, least_tokens: int = 50) -> DataFrame:
-    """The columns ``keep`` of docs, the measures, base_failed and kept (false if base_failed, else by the bands)."""
+def measure_quality(docs: DataFrame, vocabulary: str, keep: list[str] | None = None, text_col: str = "text", lang_col: str | None = "lang", bands: dict | None = None, least_words: int = 50, most_repeated: int = 50, least_tokens: int = 50, into: str = "quality") -> DataFrame:
+    """The columns ``keep`` of docs (all by default) and as last column a struct of the measures, base_failed and
+    kept (false if base_failed, else by the bands).  It is named ``into``, with underscores behind where
+    that name is among those kept."""
+    keep = docs.columns if keep is None else keep
+    quoted = [F.col("`" + c.replace("`", "``") + "`") for c in keep]
     lang = F.col(lang_col).cast("string") if lang_col else F.lit(None).cast("string")
-    picked = docs.select(*[F.col(c) for c in keep], F.col(text_col).alias("__text"), lang.alias("__lang"))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-2]] + [f"{m} long" for m in MEASURES] + ["token_entropy double", "base_failed boolean", "kept boolean"])
-    return picked.mapInArrow(_measure(vocabulary, bands or BANDS, least_words, most_repeated, least_tokens), schema)
+    picked = docs.select(F.struct(*quoted).alias("row"), F.col(text_col).alias("text"), lang.alias("lang"))
+    figures = ", ".join([f"{m}: bigint" for m in MEASURES] + ["token_entropy: double", "base_failed: boolean", "kept: boolean"])
+    done = picked.mapInArrow(_measure(vocabulary, bands or BANDS, least_words, most_repeated, least_tokens), f"row {picked.schema['row'].dataType.simpleString()}, figures struct<{figures}>")
+    return done.select("row.*", F.col("figures").alias(fresh(into, keep)))
 
 
 def op3_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    measured = measure_quality(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), ["doc_id"])
+    measured = measure_quality(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), ["doc_id"]).select("doc_id", "quality.*")
     return measured.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_tokens", "n_byte_tokens", F.round("token_entropy", 6).alias("token_entropy"))
