@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.bpe_automaton import digest_texts
-from quire.llm.common import new_folder, stash, table
+from quire.llm.common import BLANKS, Workspace, remove, stash, table
 from quire.llm.fertility import measure_quality
 from quire.llm.line_dedup import dedup_lines
 from quire.llm.mixing import mix_documents
@@ -25,15 +25,18 @@ from quire.llm.near_dedup import near_representatives
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    measured = measure_quality(docs, public_tokenizers.path("piece_bpe_32k.model"), docs.columns)
-    return measured.filter("kept").select(*docs.columns)
+    measured = measure_quality(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return measured.filter(F.col(measured.columns[-1])["kept"]).select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where lines go, n_chars follows the text."""
     done = dedup_lines(docs)
-    done = done.filter((F.col("lines_dropped") == 0) | (F.trim(F.col("text")) != ""))
-    return done.withColumn("n_chars", F.when(F.col("lines_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    dropped = F.col(done.columns[-1])["dropped"]
+    done = done.filter((dropped == 0) | (F.btrim("text", F.lit(BLANKS)) != ""))
+    if "n_chars" in docs.columns:
+        done = done.withColumn("n_chars", F.when(dropped > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return done.select(*docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,13 +55,17 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("lines", lines), ("near", near), ("mix", mix), ("tokens", tokens)]
 
-#: Tokenization, fertility and sketches have no SQL; tests hold each stage against brute force.
+#: Tokenization, fertility and sketches have no SQL; tests hold the rows of each stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows; what the stages before it wrote is removed when the next one is done."""
     docs = table(spark, sf_dir, "documents")
-    folder = new_folder(spark, "pipeline")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stash(stage(spark, docs, sf_dir), f"{folder}/{i}")
+    with Workspace(spark, "pipeline") as work:
+        for i, (name, stage) in enumerate(STAGES):
+            done = stage(spark, docs, sf_dir)
+            docs = work.result(done) if i == len(STAGES) - 1 else stash(done, work.path(name))
+            if i:
+                remove(spark, work.path(STAGES[i - 1][0]))
     return docs
