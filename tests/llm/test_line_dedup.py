@@ -10,7 +10,7 @@ from quire.llm import line_dedup
 BLANKS = " \t\n\x0b\x0c\r"
 
 
-def brute(rows):
+def brute(rows, texts=False):
     owners = defaultdict(set)
     key = lambda line: "".join(c.lower() if "A" <= c <= "Z" else c for c in line.strip(BLANKS))
     place = lambda i: 2**63 - 1 if i is None else i
@@ -22,7 +22,8 @@ def brute(rows):
     for i, t, *_ in rows:
         lines = (t or "").split("\n")
         kept = [x for x in lines if len(owners.get(key(x), ())) < 2 or min(owners[key(x)]) == place(i)]
-        out.append((i, len(lines), len(lines) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest()))
+        text = "\n".join(kept)
+        out.append((i, len(lines), len(lines) - len(kept), hashlib.sha256(text.encode()).hexdigest(), *([text] if texts else [])))
     return out
 
 

@@ -1,40 +1,93 @@
-import corpus_pipeline
+"""Each stage's rows and texts against brute force; the chain of stages against run()."""
+
+import hashlib
+from collections import Counter
+
+import public_tokenizers
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import cases
+import corpus_pipeline
+from quire.llm import mixing
 from quire.llm.common import new_folder, stash
-from test_near_dedup import brute as near_brute
+from test_fertility import brute as quality_brute
+from test_fertility import brute_kept
 from test_line_dedup import brute as line_brute
+from test_near_dedup import brute as near_brute
 
+BLANKS = " \t\n\x0b\x0c\r"
 
-def test_stages_in_order(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    before, columns = docs, docs.columns
+
+def by_quality(rows):
+    """Rows that neither the base rule nor the bands reject."""
+    return Counter(str(r) for r in rows if brute_kept(r["text"] or "", r["lang"], quality_brute(r["text"] or "")[-1]))
+
+
+def by_lines(rows):
+    """Rows with the lines that stay, n_chars with them; emptied rows go."""
+    out = Counter()
+    for r, (_, _, dropped, _, text) in zip(rows, line_brute([(r["doc_id"], r["text"]) for r in rows], texts=True), strict=True):
+        if not dropped:
+            out[str(r | {"text": r["text"] or ""})] += 1
+        elif text.strip(BLANKS):
+            out[str(r | {"text": text, "n_chars": len(text)})] += 1
+    return out
+
+
+def by_groups(rows):
+    """How many rows each group keeps: one, or every row where rows have no words."""
+    found = near_brute([(r["doc_id"], r["text"]) for r in rows], 5)
+    return len({c for _, n, c in found if n}) + sum(1 for _, n, _ in found if not n)
+
+
+def checked(spark, docs, sf):
+    """The last stage's rows, after each stage has been compared with brute force."""
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    before, columns = stash(docs, new_folder(spark, "start")), docs.columns
     for name, stage in corpus_pipeline.STAGES:
-        rows = before.collect()
-        after = stash(stage(spark, before, sf), f"{new_folder(spark, name)}")
+        rows = [r.asDict() for r in before.collect()]
+        after = stash(stage(spark, before, sf), new_folder(spark, name))
+        got = [r.asDict() for r in after.collect()]
+        seen = Counter(map(str, got))
         if name != "tokens":
             assert after.columns == columns
         if name == "quality":
-            assert 0 < after.count() < len(rows)
+            assert seen == by_quality(rows)
         if name == "lines":
-            dropped = {i: d for i, _, d, _ in line_brute([(r.doc_id, r.text) for r in rows])}
-            assert {r.doc_id for r in after.collect() if dropped[r.doc_id] == 0} == {i for i, d in dropped.items() if d == 0}
+            assert seen == by_lines(rows)
         if name == "near":
-            groups = {c for _, _, c in near_brute([(r.doc_id, r.text) for r in rows], 5)}
-            assert sorted(str(r.doc_id) for r in after.collect()) == sorted(groups)
+            assert not seen - Counter(map(str, rows)) and len(got) == by_groups(rows) == by_groups(got)
         if name == "mix":
-            copies = [r.doc_id for r in after.collect()]
-            assert max(map(copies.count, copies)) <= 3 and set(copies) <= {r.doc_id for r in rows}
+            keyed = before.select(mixing.whole()).withColumn("key", mixing.row_key(before)).select("row", "key.k1", "key.k2")
+            shares = mixing.mix_quotas(before).groupBy("k1", "k2").agg(F.sum("copies").alias("n"))
+            expected = Counter()
+            for r in keyed.dropDuplicates(["k1", "k2"]).join(shares, ["k1", "k2"]).collect():
+                expected[str(r.row.asDict())] = r.n
+            assert seen == +expected
         if name == "tokens":
-            assert after.count() == len(rows)
+            pairs = lambda d, ids: (str(d), hashlib.sha256(b"".join(i.to_bytes(4, "little") for i in ids)).hexdigest())
+            assert Counter((str(r["doc_id"]), r["ids_sha256"]) for r in got) == Counter(pairs(r["doc_id"], library.encode(r["text"] or "", add_special_tokens=False).ids) for r in rows)
         before = after
-    assert corpus_pipeline.run(spark, sf).count() == before.count()
+    return Counter(map(str, before.collect()))
+
+
+def test_stages_in_order(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    assert checked(spark, docs, sf) == Counter(map(str, corpus_pipeline.run(spark, sf).collect()))
 
 
 def test_hard_documents(spark, sf):
-    rows = [r for r in cases.ROWS if r[0] is not None]
-    docs = spark.createDataFrame([r[:5] for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
-    for docs_ in (docs, docs.limit(0)):
-        for _, stage in corpus_pipeline.STAGES:
-            docs_ = stage(spark, docs_, sf)
-        assert docs_.count() >= 0
+    """Null ids, clashing columns, repeated rows, rows that differ in one column, and an empty table."""
+    prose = [r for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect() if r.n_chars > 500][:40]
+    rows = [(r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in prose]
+    rows += [(None, *r[1:]) for r in rows[:6]] + rows[6:12] + [(*r[:3], "elsewhere", r[4]) for r in rows[12:18]] + [(r[0], r[1], None, None, None) for r in rows[18:24]]
+    docs = cases.documents(spark, cases.ROWS + rows)
+    assert sum(checked(spark, docs, sf).values()) > 0
+    assert sum(checked(spark, docs.limit(0), sf).values()) == 0
+
+
+def test_rows_of_blanks_go(spark, sf):
+    """A document that keeps only white space beside its lost lines goes, whatever the white space."""
+    rows = [(1, "a line that is shared", "en", "s", 1), (2, "a line that is shared\n\t\n \x0b\r", "en", "s", 1), (3, "\n\t", "en", "s", 1)]
+    assert [r.doc_id for r in corpus_pipeline.lines(spark, cases.documents(spark, rows), sf).orderBy("doc_id").collect()] == [1, 3]
