@@ -10,8 +10,8 @@ def shingles(t, k):
     return frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)] if w else [])
 
 
-def brute(rows, k, t=0.8):
-    """Component of each row by comparing all pairs."""
+def roots(rows, k, t=0.8):
+    """(shingles, component) of each row by comparing all pairs; components are numbers of rows."""
     sets, parent = [shingles(x, k) for _, x, *_ in rows], list(range(len(rows)))
 
     def find(i):
@@ -24,11 +24,15 @@ def brute(rows, k, t=0.8):
             both = len(sets[i] & sets[j])
             if sets[i] and sets[j] and 100 * both >= round(100 * t) * (len(sets[i]) + len(sets[j]) - both):
                 parent[find(i)] = find(j)
-    least = {}
-    for i, (d, *_) in enumerate(rows):
-        r = find(i)
+    return [(len(s), find(i)) for i, s in enumerate(sets)]
+
+
+def brute(rows, k, t=0.8):
+    """(id, shingles, least id of the component) of each row."""
+    found, least = roots(rows, k, t), {}
+    for (d, *_), (_, r) in zip(rows, found, strict=True):
         least[r] = min(least.get(r, (True, 0)), (d is None, d or 0))
-    return sorted((str(d), len(sets[i]), str(None if least[find(i)][0] else least[find(i)][1])) for i, (d, *_) in enumerate(rows))
+    return sorted((str(d), n, str(None if least[r][0] else least[r][1])) for (d, *_), (n, r) in zip(rows, found, strict=True))
 
 
 def got(df, k, **options):

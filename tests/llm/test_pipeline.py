@@ -14,7 +14,7 @@ from quire.llm.common import new_folder, stash
 from test_fertility import brute as quality_brute
 from test_fertility import brute_kept
 from test_line_dedup import brute as line_brute
-from test_near_dedup import brute as near_brute
+from test_near_dedup import roots as near_roots
 
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -36,9 +36,8 @@ def by_lines(rows):
 
 
 def by_groups(rows):
-    """How many rows each group keeps: one, or every row where rows have no words."""
-    found = near_brute([(r["doc_id"], r["text"]) for r in rows], 5)
-    return len({c for _, n, c in found if n}) + sum(1 for _, n, _ in found if not n)
+    """How many rows stay: one of each group; a row without words is a group of its own."""
+    return len({r for _, r in near_roots([(r["doc_id"], r["text"]) for r in rows], 5)})
 
 
 def checked(spark, docs, sf):
