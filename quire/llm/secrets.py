@@ -7,25 +7,27 @@ distinct repositories and owners.  A secret that one owner alone has looks live;
 owners share is a copied example.  Base spans always stay; a ``token`` span is added where it
 looks live and touches no base span.
 
-Positions: of one rule's matches in order, each is found again with locate() from the end of the
-one before.  These patterns don't look at what is around a match, so the first place where the
-matched string occurs is the match.
+Positions: a rule cuts a text into gaps and matches; only the lengths of both and hashes of the
+secrets leave the scan.  A span starts at the running sum of the lengths before it, which a window over
+the row's matches gives, so a text's cost is linear in its length and its number of matches.  Whether a loose
+span touches a base span also comes from running maxima over the row's spans.
 
-Shuffles carry hashes, never texts: distinct (hash, owner, repository), then counts by
-(hash, owner), then by hash, each with partial aggregation, so a secret that stands in a third of
-all documents is a few rows a task.  Counts go back to candidates by a join that may be split.
+Only SHA-256 hashes of secrets are stored or shuffled, never secrets or texts: distinct (hash, owner,
+repository), then counts by (hash, owner), then by hash, each with partial aggregation, so a secret
+that stands in a third of all documents is a few rows a task.  Counts go back to candidates by a
+join that may be split.
 
 Defined results: null or empty text has no spans; a null owner or repository counts as one
 owner or repository of its own; repeated rows are rows of one repository; an empty table gives no rows;
-other columns are ignored.
+other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import new_folder, stash, table
+from .common import Workspace, table
 
 #: The rules, in the order of kinds.
 ASSIGN = "([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
@@ -33,40 +35,48 @@ ACCESS = "AKIA[A-Z0-9]+"
 HEX = "[0-9a-f]+"
 TOKEN = "[A-Za-z0-9+/_-]{24,}"
 KINDS = ["assign", "access", "hex", "token"]
-SPAN = "array<struct<start:int,kind:int,end:int,secret:string>>"
+SPAN = "array<struct<start:int,kind:int,end:int>>"
+PIECE = "array<struct<kind:int,gap:int,length:int,counts:boolean,hash:binary>>"
 
 
-def _found(text: Column, pattern: str, kind: int, keep, secret=lambda m: m) -> Column:
-    """Spans (start, kind, end, secret) of the matches for which keep(match) holds."""
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    nothing = F.struct(F.lit(1).alias("next"), F.array().cast(SPAN).alias("spans"))
-
-    def step(acc: Column, m: Column) -> Column:
-        at = F.call_function("locate", m, text, acc["next"])
-        end = at + F.length(m)
-        span = F.struct((at - 1).alias("start"), F.lit(kind).alias("kind"), (end - 1).alias("end"), secret(m).alias("secret"))
-        return F.struct(end.alias("next"), F.when(keep(m), F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
-
-    # Most texts have no match that counts; those skip the fold.
-    return F.when(F.exists(matches, keep), F.aggregate(matches, nothing, step)["spans"]).otherwise(F.array().cast(SPAN))
+def _pieces(text: Column, pattern: str, kind: int, keep, secret=lambda m: m) -> Column:
+    """A struct for each match in order: characters between the match before and this one, its length,
+    whether keep(match) holds, and the hash of its secret if so."""
+    matches, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    hashed = lambda m: F.when(keep(m), F.unhex(F.sha2(secret(m), 256)))
+    piece = lambda m, g: F.struct(F.lit(kind).alias("kind"), F.length(g).alias("gap"), F.length(m).alias("length"), keep(m).alias("counts"), hashed(m).alias("hash"))
+    # There is a gap more than matches.  Most texts have no match that counts and are not split.
+    pairs = F.zip_with(matches, F.slice(gaps, F.lit(1), F.size(matches)), piece)
+    return F.when(F.exists(matches, keep), pairs).otherwise(F.array()).cast(PIECE)
 
 
 def _group2(m: Column) -> Column:
     return F.regexp_extract(m, ASSIGN, 2)
 
 
-def base_spans(text: Column) -> Column:
-    """Base spans by start, then kind."""
-    assign = _found(text, ASSIGN, 0, lambda m: F.length(_group2(m)) >= 6, _group2)
-    access = _found(text, ACCESS, 1, lambda m: F.length(m) >= 20)
+def pieces(text: Column) -> Column:
+    """Pieces of all rules, the rules' order kept."""
+    assign = _pieces(text, ASSIGN, 0, lambda m: F.length(_group2(m)) >= 6, _group2)
+    access = _pieces(text, ACCESS, 1, lambda m: F.length(m) >= 20)
     # Runs of hexadecimal digits are everywhere; only those of 24 or more count, and a longer run never hides one.
-    hexes = _found(text, "[0-9a-f]{24,}", 2, lambda m: F.lit(True))
-    return F.array_sort(F.concat(assign, access, hexes))
-
-
-def token_spans(text: Column, base: Column) -> Column:
-    mixed = lambda m: m.rlike("[0-9]") & m.rlike("[a-z]") & m.rlike("[A-Z]")
-    return F.filter(_found(text, TOKEN, 3, mixed), lambda t: ~F.exists(base, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
+    hexes = _pieces(text, "[0-9a-f]{24,}", 2, lambda m: F.lit(True))
+    token = _pieces(text, TOKEN, 3, lambda m: m.rlike("[0-9]") & m.rlike("[a-z]") & m.rlike("[A-Z]"))
+    return F.concat(assign, access, hexes, token)
+
+
+def spans_of(found: DataFrame) -> DataFrame:
+    """found: (row, owner, repository, pieces) -> a row per span that counts: row, owner, repository, start, kind, end,
+    hash; loose spans only where they touch no base span."""
+    spread = found.select("row", "owner", "repository", F.posexplode("pieces").alias("i", "p")).select("row", "owner", "repository", "i", "p.*")
+    end = F.sum(F.col("gap") + F.col("length")).over(Window.partitionBy("row", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)).cast("int")
+    spans = spread.withColumn("end", end).withColumn("start", F.col("end") - F.col("length")).filter("counts")
+    base, by_row = F.col("kind") < 3, Window.partitionBy("row")
+    # Ends of base spans that start no later, starts of those that start no earlier.
+    reach = F.max(F.when(base, F.col("end"))).over(by_row.orderBy("start").rangeBetween(Window.unboundedPreceding, 0))
+    ahead = F.min(F.when(base, F.col("start"))).over(by_row.orderBy(F.col("start").desc()).rangeBetween(Window.unboundedPreceding, 0))
+    told = spans.withColumns({"reach": reach, "ahead": ahead})
+    touched = (F.coalesce("reach", F.lit(0)) > F.col("start")) | (F.coalesce("ahead", F.col("end")) < F.col("end"))
+    return told.filter(base | ~touched).select("row", "owner", "repository", "start", "kind", "end", "hash")
 
 
 def span_text(spans: Column) -> Column:
@@ -75,28 +85,26 @@ def span_text(spans: Column) -> Column:
 
 
 def ownership(candidates: DataFrame) -> DataFrame:
-    """candidates: (h1, h2, owner, repository) -> (h1, h2, owners, repositories)."""
-    repositories = candidates.distinct().groupBy("h1", "h2", "owner").agg(F.count(F.lit(1)).alias("n"))
-    return repositories.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("owners"), F.sum("n").alias("repositories"))
+    """candidates: (hash, owner, repository) -> (hash, owners, repositories)."""
+    repositories = candidates.distinct().groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("n"))
+    return repositories.groupBy("hash").agg(F.count(F.lit(1)).alias("owners"), F.sum("n").alias("repositories"))
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repository_col: str = "doc_id", live_owners: int = 1) -> DataFrame:
     """A row per row of docs: doc_id, base (spans), spans (base and added), live and copied
     (how many spans have a secret of at most / of more than live_owners owners)."""
-    spark, folder = docs.sparkSession, new_folder(docs.sparkSession, "secrets")
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    picked = docs.select(F.col(id_col).alias("doc_id"), F.col(owner_col).cast("string").alias("owner"), F.col(repository_col).cast("string").alias("repository"), text.alias("text"))
-    based = picked.withColumn("base", base_spans(F.col("text")))
-    found = based.select(F.monotonically_increasing_id().alias("row"), "doc_id", "owner", "repository", "base", token_spans(F.col("text"), F.col("base")).alias("loose"))
-    found = stash(found, f"{folder}/found")
-    spread = found.select("row", "owner", "repository", F.explode(F.concat("base", "loose")).alias("span"))
-    spread = spread.select("row", "owner", "repository", "span", F.xxhash64("span.secret").alias("h1"), F.xxhash64(F.lit(7), "span.secret").alias("h2"))
-    counts = ownership(spread.select("h1", "h2", "owner", "repository"))
-    judged = spread.join(counts, ["h1", "h2"]).select("row", "span", (F.col("owners") <= live_owners).alias("live"), "owners", "repositories")
-    by_row = judged.groupBy("row").agg(F.collect_list(F.when((F.col("span.kind") == 3) & F.col("live"), F.col("span"))).alias("added"), F.count_if("live").alias("live"), F.count_if(~F.col("live")).alias("copied"), F.max("owners").alias("most_owners"), F.max("repositories").alias("most_repositories"))
-    joined = found.select("row", "doc_id", "base").join(by_row, "row", "left")
-    added = F.coalesce("added", F.array().cast(SPAN))
-    return joined.select("doc_id", "base", F.array_sort(F.concat("base", added)).alias("spans"), F.coalesce("live", F.lit(0)).alias("live"), F.coalesce("copied", F.lit(0)).alias("copied"), F.coalesce("most_owners", F.lit(0)).alias("most_owners"), F.coalesce("most_repositories", F.lit(0)).alias("most_repositories"))
+    with Workspace(docs.sparkSession, "secrets") as work:
+        text = F.coalesce(F.col(text_col), F.lit(""))
+        picked = docs.select(F.col(id_col).alias("doc_id"), F.col(owner_col).cast("string").alias("owner"), F.col(repository_col).cast("string").alias("repository"), pieces(text).alias("pieces"))
+        found = work.stash(picked.withColumn("row", F.monotonically_increasing_id()), "found")
+        spans = work.stash(spans_of(found), "spans")
+        counts = ownership(spans.select("hash", "owner", "repository"))
+        judged = spans.join(counts, "hash").select("row", F.struct("start", "kind", "end").alias("span"), (F.col("owners") <= live_owners).alias("live"), "owners", "repositories")
+        listed = lambda c: F.array_sort(F.collect_list(F.when(c, F.col("span")))).cast(SPAN)
+        base = F.col("span.kind") < 3
+        by_row = judged.groupBy("row").agg(listed(base).alias("base"), listed(base | F.col("live")).alias("spans"), F.count_if("live").alias("live"), F.count_if(~F.col("live")).alias("copied"), F.max("owners").alias("most_owners"), F.max("repositories").alias("most_repositories"))
+        joined, none = found.select("row", "doc_id").join(by_row, "row", "left"), F.array().cast(SPAN)
+        return work.result(joined.select("doc_id", *[F.coalesce(c, none).alias(c) for c in ("base", "spans")], *[F.coalesce(c, F.lit(0)).alias(c) for c in ("live", "copied", "most_owners", "most_repositories")]))
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,14 @@
 import hashlib
+import random
 import re
+import time
+from collections import defaultdict
+from pathlib import Path
+
+from pyspark.sql import functions as F
 
 import cases
-from quire.llm import secrets
+from quire.llm import common, secrets
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 LIVE = "Zq3vT9xLm2Kp7RwY8sBd4NfH"
@@ -34,6 +40,75 @@ def test_spans(spark):
 
 def test_cases(spark):
     rows = secrets.scan_secrets(cases.documents(spark)).collect()
-    assert len(rows) == len(cases.ROWS) and all(r.base == [] for r in rows)
+    assert sorted(str(r.doc_id) for r in rows) == sorted(str(i) for i, *_ in cases.ROWS) and all(r.base == [] and r.spans == [] for r in rows)
     assert secrets.scan_secrets(cases.empty(spark)).count() == 0
     assert hashlib.sha256(b"").hexdigest() == spark.range(1).select(secrets.F.sha2(secrets.F.lit(""), 256)).first()[0]
+
+
+def brute(rows):
+    """(id, base, spans, live, copied) of each row: counts over all rows, touching decided pair by pair."""
+    found = []
+    for _, text, _, source, *_ in rows:
+        spans = [(m.start(), 0, m.end(), m[2]) for m in ASSIGN.finditer(text or "") if len(m[2]) >= 6]
+        spans += [(m.start(), 1, m.end(), m[0]) for m in re.finditer("AKIA[A-Z0-9]+", text or "") if len(m[0]) >= 20]
+        spans += [(m.start(), 2, m.end(), m[0]) for m in re.finditer("[0-9a-f]+", text or "") if len(m[0]) >= 24]
+        loose = [(m.start(), 3, m.end(), m[0]) for m in re.finditer("[A-Za-z0-9+/_-]{24,}", text or "") if re.search("[0-9]", m[0]) and re.search("[a-z]", m[0]) and re.search("[A-Z]", m[0])]
+        found.append((source, spans + [x for x in loose if not any(a < x[2] and x[0] < b for a, _, b, _ in spans)]))
+    owners = defaultdict(set)
+    for source, spans in found:
+        for *_, secret in spans:
+            owners[secret].add(source)
+    told = lambda spans: ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b, _ in sorted(spans))
+    out = []
+    for (i, *_), (_, spans) in zip(rows, found, strict=True):
+        live = [x for x in spans if len(owners[x[3]]) <= 1]
+        out.append((str(i), told([x for x in spans if x[1] < 3]), told([x for x in spans if x[1] < 3 or x in live]), len(live), len(spans) - len(live)))
+    return sorted(out)
+
+
+def got(spark, rows):
+    found = secrets.scan_secrets(cases.documents(spark, rows)).select("doc_id", secrets.span_text(F.col("base")), secrets.span_text(F.col("spans")), "live", "copied")
+    return sorted((str(r[0]), *r[1:]) for r in found.collect())
+
+
+def test_many_matches(spark):
+    """Random strings of the rules' own parts, repeated rows and a null id among them."""
+    rnd = random.Random(3)
+    parts = ["password=", "Secret: '", "token", "AKIA", "ABCDEFGHIJKLMNOP", "0123456789abcdef", "deadbeefdeadbeef", "Zz9", "x-_/+", " ", "\n", "é", "=", "api_key:", LIVE, SHARED]
+    rows = [(i, "".join(rnd.choice(parts) for _ in range(rnd.randrange(0, 60))), "en", rnd.choice(["a", "b", None]), 1) for i in range(150)]
+    rows += rows[:5] + [(None, rows[7][1], "en", "c", 1)]
+    assert got(spark, rows) == brute(rows)
+
+
+def test_long_text_of_matches(spark):
+    """Cost is linear in the matches: 60,000 in one text of 1.5 MB."""
+    parts, spans, at = [], [], 0
+    for i in range(30_000):
+        for kind, part in (("assign", f"password=abc{i:06d}xyz"), ("token", f"{LIVE}{i}")):
+            parts.append(part)
+            spans.append(f"{kind}:{at}:{at + len(part)}")
+            at += len(part) + 1
+    began = time.time()
+    (row,) = got(spark, [(1, " ".join(parts), "en", "a", 1)])
+    assert row[2] == ",".join(spans) and row[3:] == (60_000, 0)
+    assert time.time() - began < 60
+
+
+def test_no_secret_is_left_on_disk(spark):
+    rows = [(1, "password=hunter2secret " + LIVE, "en", "a", 1)]
+    root = Path(common.shared_root(spark).removeprefix("file://"), "quire")
+    seen = []
+    stash = common.stash
+
+    def watched(df, path):
+        out = stash(df, path)
+        seen.extend(str(r) for r in out.collect())
+        return out
+
+    common.stash = watched
+    try:
+        secrets.scan_secrets(cases.documents(spark, rows)).collect()
+    finally:
+        common.stash = stash
+    assert seen and not any("hunter2" in x or LIVE in x for x in seen)
+    assert not list(root.glob("secrets-[0-9a-f]*"))
