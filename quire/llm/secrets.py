@@ -3,18 +3,20 @@ r"""Secret scan with corpus-wide ownership frequency (native: DataFrame function
 Spans of a text come from four rules.  ``assign``, ``access`` and ``hex`` are the base; ``token``
 (mixed-case strings of 24 or more characters with digits) is too loose to be reported by itself.
 Every candidate's secret is hashed, and over the whole corpus each hash gets its number of
-distinct repositories and owners.  A secret that one owner alone has looks live; one that many
-owners share is a copied example.  Base spans always stay; a ``token`` span is added where it
-looks live and touches no base span.
+distinct repositories and owners.  A secret in more than ``live_repositories`` repositories, or in several
+repositories of more than ``live_owners`` owners, is a widely copied example; others look live: those of one
+owner, and those of one repository that several owners hold a copy of.  Base spans always stay; a
+``token`` span is added where it looks live and touches no base span.  Where the table has no column of
+repositories, a whole text is one, so its copies count once.
 
 Positions: a rule cuts a text into gaps and matches; only the lengths of both and hashes of the
 secrets leave the scan.  A span starts at the running sum of the lengths before it, which a window over
 the row's matches gives, so a text's cost is linear in its length and its number of matches.  Whether a loose
 span touches a base span also comes from running maxima over the row's spans.
 
-Only SHA-256 hashes of secrets are stored or shuffled, never secrets or texts: distinct (hash, owner,
-repository), then counts by (hash, owner), then by hash, each with partial aggregation, so a secret
-that stands in a third of all documents is a few rows a task.  Counts go back to candidates by a
+Only SHA-256 hashes of secrets are stored or shuffled, never secrets or texts: distinct (hash, owner)
+and (hash, repository), then counts by hash, each with partial aggregation, so a secret that stands in a third of
+all documents is a few rows a task.  Counts go back to candidates by a
 join that may be split.
 
 Defined results: null or empty text has no spans; a null owner or repository counts as one
@@ -86,20 +88,23 @@ def span_text(spans: Column) -> Column:
 
 def ownership(candidates: DataFrame) -> DataFrame:
     """candidates: (hash, owner, repository) -> (hash, owners, repositories)."""
-    repositories = candidates.distinct().groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("n"))
-    return repositories.groupBy("hash").agg(F.count(F.lit(1)).alias("owners"), F.sum("n").alias("repositories"))
+    both = F.array(F.struct(F.lit(True).alias("owns"), F.col("owner").alias("name")), F.struct(F.lit(False).alias("owns"), F.col("repository").alias("name")))
+    distinct = candidates.select("hash", F.explode(both).alias("b")).select("hash", "b.owns", "b.name").distinct()  # a null counts as one
+    return distinct.groupBy("hash").agg(F.count_if("owns").alias("owners"), F.count_if(~F.col("owns")).alias("repositories"))
 
 
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repository_col: str = "doc_id", live_owners: int = 1) -> DataFrame:
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repository_col: str | None = None, live_owners: int = 1, live_repositories: int = 10) -> DataFrame:
     """A row per row of docs: doc_id, base (spans), spans (base and added), live and copied
-    (how many spans have a secret of at most / of more than live_owners owners)."""
+    (how many spans have a secret that looks live / that is widely copied)."""
     with Workspace(docs.sparkSession, "secrets") as work:
         text = F.coalesce(F.col(text_col), F.lit(""))
-        picked = docs.select(F.col(id_col).alias("doc_id"), F.col(owner_col).cast("string").alias("owner"), F.col(repository_col).cast("string").alias("repository"), pieces(text).alias("pieces"))
+        picked = docs.select(F.col(id_col).alias("doc_id"), F.col(owner_col).cast("string").alias("owner"), text.alias("text") if repository_col is None else F.col(repository_col).cast("string").alias("repository"), pieces(text).alias("pieces"))
+        if repository_col is None:  # the text's hash, where it has candidates
+            picked = picked.withColumn("repository", F.when(F.size("pieces") > 0, F.sha2("text", 256))).drop("text")
         found = work.stash(picked.withColumn("row", F.monotonically_increasing_id()), "found")
         spans = work.stash(spans_of(found), "spans")
         counts = ownership(spans.select("hash", "owner", "repository"))
-        judged = spans.join(counts, "hash").select("row", F.struct("start", "kind", "end").alias("span"), (F.col("owners") <= live_owners).alias("live"), "owners", "repositories")
+        judged = spans.join(counts, "hash").select("row", F.struct("start", "kind", "end").alias("span"), (((F.col("owners") <= live_owners) | (F.col("repositories") <= 1)) & (F.col("repositories") <= live_repositories)).alias("live"), "owners", "repositories")
         listed = lambda c: F.array_sort(F.collect_list(F.when(c, F.col("span")))).cast(SPAN)
         base = F.col("span.kind") < 3
         by_row = judged.groupBy("row").agg(listed(base).alias("base"), listed(base | F.col("live")).alias("spans"), F.count_if("live").alias("live"), F.count_if(~F.col("live")).alias("copied"), F.max("owners").alias("most_owners"), F.max("repositories").alias("most_repositories"))
@@ -117,10 +122,10 @@ def _duck(kind: int, pattern: str, keep: str, secret: str = "m") -> str:
     """Spans of one rule in DuckDB: gaps between matches and matches give the positions."""
     p = pattern.replace("'", "''").replace("\\x20", " ")
     return f"""
-  SELECT doc_id, source, {kind} AS kind, m, {secret.replace('ASSIGN', p)} AS secret,
+  SELECT doc_id, source, t, {kind} AS kind, m, {secret.replace('ASSIGN', p)} AS secret,
          (list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i-1], lambda x: length(x))), 0))::BIGINT AS b
-  FROM (SELECT *, ms[i] AS m FROM (SELECT doc_id, source, g, ms, unnest(range(1, len(ms) + 1)) AS i FROM (
-    SELECT doc_id, source, regexp_extract_all(t, '{p}') AS ms, string_split_regex(t, '{p}') AS g FROM d WHERE regexp_matches(t, '{p}'))))
+  FROM (SELECT *, ms[i] AS m FROM (SELECT doc_id, source, t, g, ms, unnest(range(1, len(ms) + 1)) AS i FROM (
+    SELECT doc_id, source, t, regexp_extract_all(t, '{p}') AS ms, string_split_regex(t, '{p}') AS g FROM d WHERE regexp_matches(t, '{p}'))))
   WHERE {keep.replace('ASSIGN', p)}"""
 
 
@@ -133,8 +138,8 @@ loose AS ({_duck(3, TOKEN, "regexp_matches(m, '[0-9]') AND regexp_matches(m, '[a
 apart AS (SELECT l.* FROM loose l WHERE NOT EXISTS (
   SELECT 1 FROM base s WHERE s.doc_id = l.doc_id AND s.b < l.b + length(l.m) AND l.b < s.b + length(s.m))),
 found AS (SELECT * FROM base UNION ALL SELECT * FROM apart),
-owned AS (SELECT secret, count(DISTINCT coalesce('s' || source, 'n')) AS owners, count(DISTINCT doc_id) AS repositories FROM found GROUP BY secret),
-told AS (SELECT f.*, owners, repositories, owners <= 1 AS live,
+owned AS (SELECT secret, count(DISTINCT coalesce('s' || source, 'n')) AS owners, count(DISTINCT t) AS repositories FROM found GROUP BY secret),
+told AS (SELECT f.*, owners, repositories, (owners <= 1 OR repositories <= 1) AND repositories <= 10 AS live,
   ['assign', 'access', 'hex', 'token'][kind + 1] || ':' || b || ':' || (b + length(m)) AS s
   FROM found f JOIN owned USING (secret)),
 g AS (SELECT doc_id, count(*) FILTER (WHERE kind = 0) AS n0, count(*) FILTER (WHERE kind = 1) AS n1, count(*) FILTER (WHERE kind = 2) AS n2,
