@@ -1,5 +1,6 @@
 import itertools
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -31,6 +32,60 @@ def test_broken_pages(html):
     assert isinstance(html_cut.main_text(html), str)
 
 
+def changed(html):
+    """(text, score, content) of the blocks whose label the cut turns."""
+    return [(t, content) for t, s, content in html_cut.labelled(html) if (s > 0) != content]
+
+
+SOUP = """<html><body><div class="menu"><a href=/a>Home</a></div>
+<div>See what is new here</div><div class="promo">Buy three of these now, pay for two of them.</div>
+<div><p>A long paragraph of running text, with many words in it, and some more of them at the end.</p>
+<ul><li>one point</li><li>two points</li><li>three</li></ul><p>Another long paragraph that goes on after the list, with its own words.</p><p><a href="/more">See this</a></p><p>And here it ends, as all paragraphs do at some time.</p></div>
+<div class="related">Other things to read next time you come here.</div><div>Tell your friends about us</div><div class="footer">All rights reserved.</div></body></html>"""
+
+
+def test_edges_keep_short_items_and_drop_unlabelled_notices():
+    """The score alone would lose four items of the text and keep two notices."""
+    assert changed(SOUP) == [("See what is new here", False), ("one point", True), ("two points", True), ("three", True), ("See this", True), ("Tell your friends about us", False)]
+    assert html_cut.main_text(SOUP).split("\n")[1:4] == ["one point", "two points", "three"] and html_cut.main_text(SOUP).count("\n") == 6
+
+
+def test_score_alone_decides_without_edges(monkeypatch):
+    monkeypatch.setattr(html_cut, "edges_of", lambda blocks: [])
+    assert changed(SOUP) == []
+
+
+def test_a_cue_is_not_all():
+    """A cue is one finite weight: it turns a paragraph away, but no block's label is fixed beforehand."""
+    strongest = html_cut.SHORT + 2.5 + max(html_cut.KIND.values()) + html_cut.ENDED + html_cut.HOME
+    edges = 2 * (html_cut.ADJACENT + html_cut.SIBLING + html_cut.TOGETHER)
+    assert html_cut.CUE < 0 < strongest + html_cut.CUE + edges and abs(html_cut.CUE) < 2 * edges
+
+
+def test_what_counts_as_text():
+    page = "<article><p title='hidden treasures' data-x=\"class=ad\">A paragraph, with <a href=/hidden-ad>a link</a> and <math><mi>x</mi></math>.</p><p><span aria-hidden=true>Seen by all.</span> Not <b hidden>this</b> here.</p><canvas>no canvas</canvas></article>"
+    assert html_cut.main_text(page) == "A paragraph, with a link and x.\nSeen by all. Not here."
+
+
+HOSTILE = {
+    "unclosed tags": "<a " * 300_000,
+    "alternating blocks": "<p>A long paragraph of running text, with many words in it.</p><ul><li><a href=x>a</a></ul>" * 10_000,
+    "unpaired quotes": "<a \">'<b '>\" " * 80_000,
+    "script without an end": "<script>" + "</script " * 100_000,
+    "deep inline": "<i><div>" + "<b>" * 150_000 + "</i>" * 100_000 + "x</p>" * 50_000,
+    "deep blocks": "<blockquote>" * 60_000 + "<p>x" * 60_000 + "</section>" * 20_000,
+    "nested cues": "<div class=ad>x" * 60_000,
+    "weak items": "<p>A long paragraph of running text, with many words in it.</p>" + "<li>ab cd ef</li>" * 60_000,
+}
+
+
+@pytest.mark.parametrize("name", HOSTILE)
+def test_hostile_pages_of_a_megabyte(name):
+    began = time.time()
+    assert isinstance(html_cut.main_text(HOSTILE[name]), str)
+    assert time.time() - began < 15
+
+
 def test_long_page():
     body = "<article>" + "".join(f"<p>Paragraph number {i} of the long article.</p>" for i in range(3000)) + "</article>"
     assert html_cut.main_text(PAGE % body).count("\n") == 2999
