@@ -10,7 +10,8 @@ Learning takes a bounded sample of labelled rows outside the test fold: at most
   bytes catch inflected forms that no list of words would.  The ordinary samples are all words.
 * zstandard trains a dictionary of each.  One compressor has the ordinary dictionary, the other the ordinary and the
   toxic one: what both know cancels out.  A window's gain is the bytes that the second saves.
-* Windows are runs of one and of three words in lower case, over the whole text.  zstandard neither looks for
+* Windows are runs of one and of three words in lower case, over the whole text.  A run of three words none of which
+  gains by itself has no gain; only the others are compressed.  zstandard neither looks for
   matches in the last bytes of its input nor keeps a block that it can't shorten by some bytes, so a
   window stands between two paddings that both dictionaries end with.
 * A document's evidence, for either length of windows: the greatest gain, and for each threshold the logarithm of
@@ -43,10 +44,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, WORD, table
+from .common import LOWER, UPPER, WORD, Workspace, table
 from .pieces import slices
 
-_WORD, _LOWER = re.compile(WORD), str.maketrans(UPPER, LOWER)
+_WORD, _LOWER = re.compile(WORD.encode()), bytes.maketrans(UPPER.encode(), LOWER.encode())
 #: (words of a window, words from one to the next).
 WINDOWS = ((1, 1), (3, 2))
 #: Thresholds of a window's gain, in bytes.
@@ -58,7 +59,7 @@ GRAMS = (5, 6, 7, 8, 9)
 
 
 def words_of(text: str) -> list[bytes]:
-    return [w.encode("utf-8", "surrogatepass") for w in _WORD.findall(text.translate(_LOWER))]
+    return _WORD.findall(text.encode("utf-8", "surrogatepass").translate(_LOWER))  # no blank or capital is a part of a longer character
 
 
 def window(words: list[bytes]) -> bytes:
@@ -114,11 +115,17 @@ class Gains:
 
     def evidence(self, text: str) -> list[float]:
         words, out = words_of(text) or [b""], []
+        single = self.of_words(words)
         for n, step in WINDOWS:
             if n == 1:
-                gains = self.of_words(words)
+                gains = single
             else:
-                gains = self.of([window(words[i : i + n]) for i in range(0, max(1, len(words) - n + step), step)])
+                starts = np.arange(0, max(1, len(words) - n + step), step)
+                before = np.concatenate([[0], np.cumsum(single > 0)])
+                near = starts[before[np.minimum(starts + n, len(words))] > before[starts]]
+                gains = np.zeros(len(starts), np.int64)
+                if len(near):
+                    gains[near // step] = self.of([window(words[i : i + n]) for i in near.tolist()])
             out.append(float(max(0, gains.max())))
             for least in GAINS:
                 hits = int(np.count_nonzero(gains >= least))
@@ -278,31 +285,39 @@ def held_out(id_col):
     return F.coalesce(F.crc32(id_col.cast("string")) % 4 == 2, F.lit(False))
 
 
-def sample(docs: DataFrame, labels: DataFrame, most: int, most_bytes: int, toxic: bool) -> tuple[list[str], float]:
-    """(texts, which part of the label's distinct documents they are): at most ``most`` documents with one label
-    outside the test fold, by the least hash of id and text, and at most most_bytes of text.
-
-    Numbers come first: hashes and lengths of the chosen rows; texts only of those that fit."""
-    known = labels.select(F.col("doc_id"), F.col("toxic")).filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    mine = known.filter(F.col("toxic") > 0 if toxic else F.col("toxic") <= 0).select("doc_id")
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", text.alias("text")).join(mine, "doc_id").withColumn("rank", F.xxhash64("doc_id", "text"))
-    numbers = rows.groupBy("doc_id", "rank").agg(F.first(F.octet_length("text")).alias("bytes"))  # repeated rows once
-    total, chosen, used = numbers.count(), [], 0
-    for r in numbers.orderBy("rank", "doc_id").limit(most).collect():
-        if used + r["bytes"] <= most_bytes:
-            chosen.append((r["doc_id"], r["rank"]))
-            used += r["bytes"]
-    if not chosen:
-        return [], 1.0
-    wanted = docs.sparkSession.createDataFrame(chosen, numbers.select("doc_id", "rank").schema)
-    texts = rows.join(F.broadcast(wanted), ["doc_id", "rank"]).groupBy("doc_id", "rank").agg(F.first("text").alias("text"))  # at most ``most`` rows of two numbers are broadcast
-    return [r["text"] for r in sorted(texts.collect(), key=lambda r: (r["rank"], r["doc_id"]))], len(chosen) / total
+def sample(docs: DataFrame, labels: DataFrame, most: tuple[int, int], most_bytes: int) -> list[tuple[list[str], float]]:
+    """For ordinary and for toxic documents outside the test fold: (texts, which part of all such documents they are).
+    At most ``most`` of each, by the least hash of id and text, and at most most_bytes of text.
+
+    Numbers come first: hashes and lengths of labelled rows, of which the least are chosen; then texts of the chosen alone."""
+    known = labels.select("doc_id", "toxic").filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
+    ranked = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select("doc_id", F.xxhash64("doc_id", "text").alias("rank"), "text")
+    with Workspace(docs.sparkSession, "toxicity") as work:
+        numbers = ranked.select("doc_id", "rank", F.octet_length("text").alias("bytes")).join(known, "doc_id").distinct()  # repeated rows once
+        numbers = work.stash(numbers, "numbers")
+        totals = {r["toxic"]: r["n"] for r in numbers.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+        chosen = {}
+        for kind in (0, 1):
+            used = 0
+            for r in numbers.filter(F.col("toxic") == kind).orderBy("rank", "doc_id").limit(most[kind]).collect():
+                if used + r["bytes"] <= most_bytes:
+                    chosen[r["doc_id"], r["rank"]] = kind
+                    used += r["bytes"]
+        texts = {}
+        if chosen:
+            wanted = docs.sparkSession.createDataFrame(list(chosen), numbers.select("doc_id", "rank").schema)
+            found = ranked.join(F.broadcast(wanted), ["doc_id", "rank"]).groupBy("doc_id", "rank").agg(F.first("text").alias("text"))  # two numbers of sum(most) rows are broadcast
+            texts = {(r["rank"], r["doc_id"]): r["text"] for r in found.collect()}
+    out = []
+    for kind in (0, 1):
+        own = [texts[k] for k in sorted(texts) if chosen[k[1], k[0]] == kind]
+        out.append((own, len(own) / totals[kind] if own else 1.0))
+    return out
 
 
 def fitted(docs: DataFrame, labels: DataFrame, max_toxic: int = 3000, max_ordinary: int = 6000, max_bytes: int = 1 << 25) -> dict:
     """The model; docs: (doc_id, text)."""
-    (toxic, a), (ordinary, b) = sample(docs, labels, max_toxic, max_bytes, True), sample(docs, labels, max_ordinary, max_bytes, False)
+    (ordinary, b), (toxic, a) = sample(docs, labels, (max_ordinary, max_toxic), max_bytes)
     return learn(toxic, ordinary, (a, b))
 
 
