@@ -91,3 +91,9 @@ LANGUAGE_ALIASES = {
 #: Languages with rules of their own.
 RULED_LANGUAGES = ("spanish", "nahuatl", "yucatec_maya", "classical_maya", "kaqchikel", "korean", "japanese", "arabic")
 FOOTNOTE_START, FOOTNOTE_END, FOOTNOTES, IMAGE = "--- FOOTNOTE ---", "--- END FOOTNOTE ---", "--- FOOTNOTES ---", "[IMAGE]"
+
+# Fragments in brackets at the ends and starts of pages.
+OPEN_END = r"\[([^\]\n]+)-\s*$"
+UNCLOSED_END = r"\[[^\]\n]*$"
+CLOSE_START = r"(?s)^([^\[\n\]]+)\](.*)$"
+ORPHAN_START = r"^[^\[]*\]"

@@ -50,21 +50,15 @@ def contains_any(c: Column, markers: Iterable[str]) -> Column:
 
 
 def markers_present(c: Column, markers: Iterable[str]) -> Column:
-    """How many different markers are in the lower-case text."""
-    low = F.lower(c)
-    out = F.lit(0)
-    for m in markers:
-        out = out + low.contains(m).cast("int")
-    return out
+    """How many different markers are in the lower-case text, which is made once."""
+    return let(F.lower(c), lambda low: sum((low.contains(m).cast("int") for m in markers), F.lit(0)))
 
 
 def words_present(c: Column, words: Iterable[str]) -> Column:
-    """How many different words stand in the lower-case text, between word boundaries."""
-    low = F.lower(c)
-    out = F.lit(0)
-    for w in words:
-        out = out + low.rlike(rf"(?U)\b{re.escape(w)}\b").cast("int")
-    return out
+    """How many different words stand in the lower-case text, between word boundaries: the text is cut into
+    words once, however long the list is.  The words must have letters, digits and underscores only."""
+    found = F.regexp_extract_all(F.lower(c), F.lit(r"(?U)\w+"), F.lit(0))
+    return F.coalesce(F.size(F.array_intersect(found, F.array(*[F.lit(w) for w in words]))), F.lit(0))
 
 
 # ------------------------------------------------------------- predicates

@@ -8,13 +8,19 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from ..functions.text import let
 
 
 def words_to_text(words: Column) -> Column:
     """Lines by line_id, words of a line by x."""
     keyed = F.array_sort(F.transform(words, lambda w, i: F.struct(w["line_id"].alias("l"), F.get(w["bbox"], F.lit(0)).alias("x"), i.alias("i"), w["text"].alias("t"))))
-    ids = F.array_distinct(F.transform(keyed, lambda w: w["l"]))
-    return F.array_join(F.transform(ids, lambda l: F.array_join(F.transform(F.filter(keyed, lambda w: w["l"] == l), lambda w: w["t"]), " ")), "\n")
+
+    def placed(ws: Column) -> Column:
+        """Each word behind what parts it from the one before: sorted once, read once."""
+        part = lambda w, i: F.when(i == 0, "").when(F.get(ws, i - 1)["l"].eqNullSafe(w["l"]), " ").otherwise("\n")
+        return F.array_join(F.transform(ws, lambda w, i: F.concat(part(w, i), w["t"])), "")
+
+    return let(keyed, placed)
 
 
 def _centre(w: Column, axis: int) -> Column:

@@ -69,7 +69,7 @@ def sample_pages(pages: Column, count: int = 5, most: int = 10) -> Column:
 
 def page_tags(text: Column, terms: list[str]) -> Column:
     """Edge cases of a page with terms: hyphen_break, body_and_footnote, chapter_heading, multi_term_sentence."""
-    low, given = F.lower(text), F.array(*[F.lit(t.lower()) for t in terms])
+    flat, given = F.regexp_replace(F.lower(text), r"\n(?!\n)", " "), F.array(*[F.lit(t.lower()) for t in terms])
     has = lambda c: F.exists(given, lambda t: F.lower(c).contains(t))
     parts = F.split(text, fixed.FOOTNOTES, 2)
     heads = F.slice(F.filter(F.transform(F.split(text, "\n"), strip), lambda x: x != ""), 1, 8)
@@ -79,21 +79,26 @@ def page_tags(text: Column, terms: list[str]) -> Column:
             F.when(text.rlike(r"-\s*\n"), "hyphen_break"),
             F.when((F.size(parts) == 2) & has(F.get(parts, F.lit(0))) & has(F.coalesce(F.get(parts, F.lit(1)), F.lit(""))), "body_and_footnote"),
             F.when(heading, "chapter_heading"),
-            F.when(F.size(F.filter(given, lambda t: low.contains(t))) >= 2, "multi_term_sentence"),
+            F.when(F.size(F.filter(given, lambda t: flat.contains(t))) >= 2, "multi_term_sentence"),
         )
     )
     return F.when(text.startswith("[Skipped:") | ~has(text), F.array().cast("array<string>")).otherwise(tags)
 
 
 def pilot_pages(pages: DataFrame, book: str, page: str, text: str, terms: list[str], count: int = 20) -> DataFrame:
-    """(book, page, why): the first page of each tag, then pages with terms, then any, in page order."""
-    tagged = pages.withColumn("tags", page_tags(F.col(text), terms)).withColumn("hard", F.exists(F.array(*[F.lit(t.lower()) for t in terms]), lambda t: F.lower(text).contains(t)))
-    w = Window.partitionBy(book).orderBy(page).rowsBetween(Window.unboundedPreceding, -1)
+    """(book, page, why): for each tag in turn its first page that no tag before has taken, then pages with terms,
+    then any, in page order."""
     names = ["hyphen_break", "body_and_footnote", "chapter_heading", "multi_term_sentence"]
-    seen = F.coalesce(F.array_distinct(F.flatten(F.collect_list("tags").over(w))), F.array().cast("array<string>"))
-    fresh = F.array_except("tags", seen)
-    priority = F.when(F.size(fresh) > 0, F.array_position(F.array(*[F.lit(n) for n in names]), F.get(fresh, F.lit(0)))).when(F.col("hard"), 10).otherwise(20)
-    ranked = tagged.withColumn("priority", priority)
-    rank = F.row_number().over(Window.partitionBy(book).orderBy("priority", page))
-    why = F.when(F.col("priority") < 10, F.get(F.array(*[F.lit(n) for n in names]), F.col("priority").cast("int") - 1)).when(F.col("priority") == 10, "term").otherwise("any")
+    given = F.array(*[F.lit(t.lower()) for t in terms])
+    tagged = pages.select(book, page, page_tags(F.col(text), terms).alias("tags"), F.exists(given, lambda t: F.lower(F.col(text)).contains(t)).alias("hard"))
+    # The tags before can have taken at most three pages, so the first four of each tag are enough.
+    least = lambda n: F.slice(F.array_sort(F.collect_list(F.when(F.array_contains("tags", n), F.col(page)))), 1, len(names)).alias(n)
+    chosen = tagged.groupBy(book).agg(*[least(n) for n in names])
+    for n in names:
+        before = F.array_compact(F.array(F.lit(None).cast(dict(pages.dtypes)[page]), *[F.col(f"{m}_page") for m in names[: names.index(n)]]))
+        chosen = chosen.withColumn(f"{n}_page", F.get(F.array_except(n, before), F.lit(0)))
+    picks = chosen.select(book, F.explode(F.array(*[F.struct(F.lit(i).alias("turn"), F.lit(n).alias("tag"), F.col(f"{n}_page").alias(page)) for i, n in enumerate(names)])).alias("p")).select(book, "p.*").filter(F.col(page).isNotNull())
+    ranked = tagged.join(picks, [book, page], "left").withColumn("turn", F.coalesce("turn", F.when(F.col("hard"), 10).otherwise(20)))
+    rank = F.row_number().over(Window.partitionBy(book).orderBy("turn", page))
+    why = F.coalesce("tag", F.when(F.col("turn") == 10, "term").otherwise("any"))
     return ranked.withColumn("r", rank).filter(F.col("r") <= count).select(book, page, why.alias("why"))

@@ -16,21 +16,35 @@ def script_share(c: Column, script: str = "latin") -> Column:
     return F.try_divide(F.regexp_count(c, F.lit(f"[\\x{{{low:X}}}-\\x{{{high:X}}}]")), F.regexp_count(c, F.lit(r"\p{L}")))
 
 
-def output_fault(c: Column, script: str = "latin") -> Column:
-    """too_short, no_letters, wrong_script or null."""
-    t, share = strip(F.coalesce(c, F.lit(""))), script_share(strip(F.coalesce(c, F.lit(""))), script)
+def _fault_of(t: Column, share: Column, script: str) -> Column:
+    """Of a stripped text and its script's share."""
     least = fixed.LATIN_SHARE if script == "latin" else fixed.OTHER_SCRIPT_SHARE
     return F.when(F.length(t) < fixed.LEAST_CONTENT_CHARS, "too_short").when(share.isNull(), "no_letters").when(share < least, "wrong_script")
 
 
+def script_and_fault(c: Column, script: str = "latin") -> Column:
+    """struct(text, share, fault): the stripped text, the share of its script and what is wrong, each worked out once."""
+    shared = lambda t: F.struct(t.alias("text"), script_share(t, script).alias("share"))
+    told = lambda x: F.struct(x["text"].alias("text"), x["share"].alias("share"), _fault_of(x["text"], x["share"], script).alias("fault"))
+    return let(let(strip(F.coalesce(c, F.lit(""))), shared), told)
+
+
+def output_fault(c: Column, script: str = "latin") -> Column:
+    """too_short, no_letters, wrong_script or null."""
+    return script_and_fault(c, script)["fault"]
+
+
 def page_faults(c: Column, script: str = "latin", blank: Column | None = None) -> Column:
     """array of reasons; empty for blank text, skip bodies and good pages.  A short page is no fault
     where the image is known to be blank."""
-    blank = F.lit(False) if blank is None else blank
-    fault = output_fault(c, script)
-    short = (fault == "too_short") | fault.isNull() & (F.length(squash(strip(c))) < fixed.LEAST_CONTENT_CHARS)
-    reasons = F.array_compact(F.array(F.when(short & ~blank, "too_short").when(fault.isin("no_letters", "wrong_script"), "script_mismatch")))
-    return F.when((strip(F.coalesce(c, F.lit(""))) == "") | is_skip(c), F.array().cast("array<string>")).otherwise(reasons)
+    blank, none = F.lit(False) if blank is None else blank, F.array().cast("array<string>")
+
+    def reasons(x: Column) -> Column:
+        short = (x["fault"] == "too_short") | x["fault"].isNull() & (F.length(squash(x["text"])) < fixed.LEAST_CONTENT_CHARS)
+        found = F.array_compact(F.array(F.when(short & ~blank, "too_short").when(x["fault"].isin("no_letters", "wrong_script"), "script_mismatch")))
+        return F.when((x["text"] == "") | is_skip(x["text"]), none).otherwise(found)
+
+    return let(script_and_fault(c, script), reasons)
 
 
 def manuscript_brackets(c: Column) -> Column:

@@ -191,7 +191,14 @@ def bracket_partner(spark, d):
     return pages.bracket_partner(fx.bracketed(spark, d), "book", "page", "text")
 
 
-@query()
+@query(f"""WITH b AS (SELECT book, page, text, {_o('text')} AS o, {_c('text')} AS c FROM {{bracketed}}),
+n AS (SELECT *, min(CASE WHEN c THEN page END) OVER (PARTITION BY book ORDER BY page ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS p FROM b),
+f AS (SELECT book, list_reduce(list({{'until': page, 'next': p, 'pairs': [[page, p]]}} ORDER BY page), lambda s, x: CASE WHEN x.until > s.next THEN {{'until': x.until, 'next': x.next, 'pairs': list_concat(s.pairs, x.pairs)}} ELSE s END).pairs AS pairs
+  FROM n WHERE o AND p IS NOT NULL GROUP BY book),
+q AS (SELECT book, u[1] AS page, u[2] AS p FROM (SELECT book, unnest(pairs) AS u FROM f))
+SELECT b.book, b.page, CASE WHEN g.page IS NOT NULL THEN regexp_replace(rtrim(b.text), '\\[([^\\]\\n]+)-\\s*$', '') || '[' || regexp_extract(rtrim(b.text), '\\[([^\\]\\n]+)-\\s*$', 1) || regexp_extract(ltrim(m.text), '^([^\\[\\n\\]]+)\\]', 1) || ']'
+  WHEN t.page IS NOT NULL THEN regexp_replace(regexp_replace(ltrim(b.text), '^([^\\[\\n\\]]+)\\]', ''), '^\\n+', '') ELSE b.text END AS text
+FROM b LEFT JOIN q g ON g.book = b.book AND g.page = b.page LEFT JOIN b m ON m.book = b.book AND m.page = g.p LEFT JOIN q t ON t.book = b.book AND t.p = b.page""")
 def bracket_rejoin_book(spark, d):
     """The general join of split brackets, an ordered fold per book."""
     return pages.rejoin(fx.bracketed(spark, d), "book", "page", "text")
@@ -256,7 +263,7 @@ _SHARE = "len(regexp_extract_all(t, '[\\x{41}-\\x{24F}]')) / nullif(len(regexp_e
 @query(f"SELECT doc_id, round({_SHARE}, 6) AS latin_share, CASE WHEN length(t) < 50 THEN 'too_short' WHEN ({_SHARE}) IS NULL THEN 'no_letters' WHEN ({_SHARE}) < 0.8 THEN 'wrong_script' END AS fault FROM (SELECT doc_id, trim(text) AS t FROM documents)")
 def script_quality(spark, d):
     docs = fx.table(spark, d, "documents")
-    return docs.select("doc_id", F.round(quality.script_share(text.strip(F.col("text"))), 6).alias("latin_share"), quality.output_fault(F.col("text")).alias("fault"))
+    return docs.select("doc_id", quality.script_and_fault(F.col("text")).alias("x")).select("doc_id", F.round("x.share", 6).alias("latin_share"), "x.fault")
 
 
 @query(f"""WITH f AS (SELECT doc_id, run, CASE WHEN t = '' OR starts_with(t, '[Skipped:') THEN NULL WHEN length(t) < 50 THEN 'too_short' WHEN coalesce({_SHARE}, 0) < 0.8 THEN 'script_mismatch' WHEN length({_Q.format('t')}) < 50 THEN 'too_short' END AS reason
