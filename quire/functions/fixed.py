@@ -97,3 +97,14 @@ OPEN_END = r"\[([^\]\n]+)-\s*$"
 UNCLOSED_END = r"\[[^\]\n]*$"
 CLOSE_START = r"(?s)^([^\[\n\]]+)\](.*)$"
 ORPHAN_START = r"^[^\[]*\]"
+
+# Texts of reports and sentinels.
+REVIEW_HEADER = "# Flagged spans requiring human review"
+PAGE_BREAK = "\n\n--- PAGE BREAK ---\n\n"
+MISSING_PASS4 = "[Pass 4 failed: missing batch result]"
+EXTRA_FLAGS = {"footnote_region": "[FOOTNOTE REGION]", "complex_layout_language_switch": "[LANGUAGE SWITCH]"}
+
+# Jobs, and signs that end sentences in Japanese and Chinese.
+DEFAULT_MODE = "auto"
+PILOT_PAGES = 10
+CJK_TERMINATORS = "。、！？"

@@ -49,14 +49,64 @@ def confidence_of_words(words: Column, line: Column, token: Column) -> Column:
     return F.coalesce(F.get(F.reverse(by_x), F.lit(0))["c"], F.lit(0.0))
 
 
-def flags(tokens: DataFrame, keys: list[str], runs: list[str]) -> DataFrame:
-    """Flagged positions with reasons, character offsets within the line and span ids within the page."""
+def with_confidences(tokens: DataFrame, words: DataFrame, keys: list[str], runs: list[str]) -> DataFrame:
+    """tokens with ``<run>_conf`` of each reading's words: of equal texts in a line the last by x; 0 without a match.
+
+    words: (keys, run, line_index, text, x, confidence)."""
+    last = words.groupBy(*keys, "run", "line_index", "text").agg(F.max_by("confidence", "x").alias("c"))
+    for r in runs:
+        own = last.filter(F.col("run") == r).select(*keys, "line_index", F.col("text").alias(r), F.col("c").alias(f"{r}_conf"))
+        tokens = tokens.join(own, [*keys, "line_index", r], "left").withColumn(f"{r}_conf", F.coalesce(f"{r}_conf", F.lit(0.0)))
+    return tokens
+
+
+def judged_by_confidences(tokens: DataFrame, runs: list[str], threshold: float = fixed.CONFIDENCE_THRESHOLD) -> DataFrame:
+    """``judged`` by the columns that ``with_confidences`` added."""
+    return judged(tokens, runs, lambda _, r: F.col(f"{r}_conf"), threshold)
+
+
+def flags(tokens: DataFrame, keys: list[str], runs: list[str], extra: Column | None = None) -> DataFrame:
+    """Flagged positions with reasons, character offsets within the line and span ids within the page.
+
+    extra: how many flags the page has already; numbers go on from there.  Confidences stay where tokens have them."""
     line = Window.partitionBy(*keys, "line_index").orderBy("word_index").rowsBetween(Window.unboundedPreceding, -1)
     placed = tokens.withColumn("char_start", F.coalesce(F.sum(F.length("display") + 1).over(line), F.lit(0)).cast("int"))
     flagged = placed.filter(~(F.col("agree") & F.col("confident")))
-    number = F.row_number().over(Window.partitionBy(*keys).orderBy("line_index", "word_index"))
+    number = F.row_number().over(Window.partitionBy(*keys).orderBy("line_index", "word_index")) + (F.lit(0) if extra is None else extra)
     reason = F.concat_ws(";", F.when(~F.col("agree"), "engine_disagreement"), F.when(~F.col("confident"), "low_confidence"))
-    return flagged.select(*keys, F.concat(F.lit("flag_"), F.lpad(number.cast("string"), 5, "0")).alias("span_id"), "line_index", "word_index", "char_start", (F.col("char_start") + F.length("display")).alias("char_end"), F.col("display").alias("text"), reason.alias("reason"), *runs)
+    sure = [f"{r}_conf" for r in runs if f"{r}_conf" in tokens.columns]
+    return flagged.select(*keys, F.concat(F.lit("flag_"), F.lpad(number.cast("string"), 5, "0")).alias("span_id"), "line_index", "word_index", "char_start", (F.col("char_start") + F.length("display")).alias("char_end"), F.col("display").alias("text"), reason.alias("reason"), *runs, *sure)
+
+
+def page_flags(pages: DataFrame, keys: list[str]) -> DataFrame:
+    """Flags of whole pages: a footnote region, a flag for each image, a switch of languages, each word of a second one.
+
+    pages: (keys, page_id string, footnotes boolean, images array<array<int>>, switches boolean, second array<struct<line int, word string>>)."""
+    kind = "array<struct<span_id:string,line_index:int,word_index:int,char_start:int,char_end:int,text:string,reason:string,bbox:array<int>>>"
+    none = F.lit(None).cast("array<int>")
+
+    def one(span, line, word, end, text, reason, bbox):
+        parts = {"span_id": F.concat_ws("_", "page_id", span), "line_index": line, "word_index": word, "char_start": F.lit(0), "char_end": end, "text": text, "reason": F.lit(reason), "bbox": bbox}
+        return F.struct(*[c.alias(n) for n, c in parts.items()])
+
+    whole = lambda span, reason: F.array(one(F.lit(span), F.lit(0), F.lit(0), F.lit(0), F.lit(fixed.EXTRA_FLAGS[reason]), reason, none)).cast(kind)
+    empty, image = F.array().cast(kind), F.lit(fixed.IMAGE)
+    images = F.transform("images", lambda b, i: one(F.concat(F.lit("image_"), i.cast("string")), F.lit(0), i, F.lit(len(fixed.IMAGE)), image, "image_placeholder", b)).cast(kind)
+    second = F.transform("second", lambda s: one(F.concat(F.lit("secondary_"), s["line"].cast("string"), F.lit("_"), F.left(s["word"], F.lit(8))), s["line"], F.lit(0), F.length(s["word"]), s["word"], "secondary_language_segment", none)).cast(kind)
+    every = F.concat(F.when(F.col("footnotes"), whole("footnote", "footnote_region")).otherwise(empty), F.coalesce(images, empty), F.when(F.col("switches"), whole("lang_switch", "complex_layout_language_switch")).otherwise(empty), F.coalesce(second, empty))
+    return pages.select(*keys, F.explode(every).alias("f")).select(*keys, "f.*")
+
+
+def with_resolution(flags_: DataFrame, resolved: DataFrame, keys: list[str]) -> DataFrame:
+    """flags with ``resolved``: true where a reviewer has closed the span, else false.  resolved: (keys, span_id)."""
+    closed = resolved.select(*keys, "span_id").distinct().withColumn("resolved", F.lit(True))
+    return flags_.join(closed, [*keys, "span_id"], "left").withColumn("resolved", F.coalesce("resolved", F.lit(False)))
+
+
+def reviewed_texts(drafts: DataFrame, edits: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, text): a reviewer's text where there is one, even an empty one, else the draft."""
+    both = drafts.select(*keys, F.col("text").alias("draft")).join(edits.select(*keys, F.col("text").alias("edit")), keys, "left")
+    return both.select(*keys, F.coalesce("edit", "draft").alias("text"))
 
 
 def stats(tokens: DataFrame, keys: list[str]) -> DataFrame:
@@ -65,6 +115,14 @@ def stats(tokens: DataFrame, keys: list[str]) -> DataFrame:
     return tokens.groupBy(*keys).agg(F.count_if(ok).alias("auto_accepted_words"), F.count_if(~ok).alias("flagged_words")).withColumn("auto_accept", F.col("flagged_words") == 0)
 
 
+def stats_with_page_flags(tokens: DataFrame, extra: DataFrame, keys: list[str]) -> DataFrame:
+    """stats with ``total_flags``, which counts the flags of whole pages too; they also stand against auto_accept."""
+    counted = extra.groupBy(*keys).agg(F.count(F.lit(1)).alias("n__"))
+    total = F.col("flagged_words") + F.coalesce("n__", F.lit(0))
+    joined = stats(tokens, keys).join(counted, keys, "left").withColumn("total_flags", total)
+    return joined.withColumn("auto_accept", F.col("total_flags") == 0).drop("n__")
+
+
 def suggestion(runs: list[str]) -> Column:
     """The token that most runs have; ties go to the first run.  A hint, never accepted by itself."""
     tokens = F.array(*runs)

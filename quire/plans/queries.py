@@ -92,9 +92,10 @@ def manifest_summary(spark, d):
 @query(f"WITH {_TOKENS}, f AS (SELECT doc_id, line_index, word_index, doc_id % 2 = 0 AND word_index % 3 = 0 AS resolved FROM s WHERE NOT (agree AND confident)) SELECT doc_id, count(*) AS total_flags, count(*) FILTER (WHERE NOT resolved) AS unresolved FROM f GROUP BY doc_id")
 def review_queue(spark, d):
     """Resolved flags laid over the flags; what is left to review by page."""
-    flagged = _judged(spark, d).filter(~(F.col("agree") & F.col("confident"))).select("doc_id", "line_index", "word_index")
-    resolved = (F.col("doc_id") % 2 == 0) & (F.col("word_index") % 3 == 0)
-    return flagged.groupBy("doc_id").agg(F.count(F.lit(1)).alias("total_flags"), F.count_if(~resolved).alias("unresolved"))
+    flagged = consensus.flags(_judged(spark, d), ["doc_id"], RUNS)
+    resolved = flagged.filter("doc_id % 2 = 0 AND word_index % 3 = 0").select("doc_id", "span_id")
+    told = consensus.with_resolution(flagged, resolved, ["doc_id"])
+    return told.groupBy("doc_id").agg(F.count(F.lit(1)).alias("total_flags"), F.count_if(~F.col("resolved")).alias("unresolved"))
 
 
 # ---------------------------------------------------------------- two readings
@@ -219,15 +220,6 @@ def pending_work(spark, d):
     return pages.pending(b, runs, done, b.filter("page % 5 = 0"), ["book", "page"])
 
 
-@query("SELECT 'r' || (page % 2 + 1) || '_p' || lpad((book % 10000)::VARCHAR, 4, '0') AS custom_id, 'transcribe' AS kind, (page % 2 + 1)::INT AS idx, (book % 10000)::INT AS page, CASE WHEN page % 3 = 0 THEN NULL WHEN page % 4 = 0 THEN 'retry' ELSE text END AS body FROM {books}")
-def batch_result_join(spark, d):
-    """Pending requests with what came back: an error asks for a retry, nothing leaves null."""
-    b = fx.books(spark, d).withColumn("custom_id", F.expr("concat('r', page % 2 + 1, '_p', lpad(cast(book % 10000 as string), 4, '0'))"))
-    results = b.filter("page % 3 <> 0").select("book", F.col("page").alias("n"), F.when(F.expr("page % 4 = 0"), F.lit(None)).otherwise(F.col("text")).alias("got"), F.expr("page % 4 = 0").alias("error"))
-    joined = b.withColumn("n", F.col("page")).select("book", "n", "custom_id").join(results, ["book", "n"], "left").withColumn("id", text.batch_id(F.col("custom_id")))
-    return joined.select("custom_id", "id.kind", "id.idx", "id.page", F.when(F.col("error"), "retry").otherwise(F.col("got")).alias("body"))
-
-
 # ---------------------------------------------------------------- texts
 
 _FOLD = """
@@ -521,7 +513,7 @@ def notation_tier1(spark, d):
     return fx.table(spark, d, "documents").select("doc_id", text.notation_tier1(marked).alias("text"))
 
 
-@query()
+@query("SELECT doc_id, nfc_normalize(translate(text || ' vocālis ēcho', 'āēīōūĀĒĪŌŪ', 'ãẽĩõũÃẼĨÕŨ')) AS text FROM documents")
 def macron_unify(spark, d):
     return fx.table(spark, d, "documents").select("doc_id", udfs.unify_macron(F.concat("text", F.lit(" vocālis ēcho"))).alias("text"))
 
@@ -533,7 +525,7 @@ def sequence_ratio(spark, d):
     return p.select("doc_id", "ratio", reconcile.difference(F.col("a"), F.col("b"), F.col("ratio")).alias("category"))
 
 
-@query()
+@query("SELECT event_id, json(props)::VARCHAR AS blob FROM events")
 def json_blob(spark, d):
     fenced = F.concat(F.lit("Sure:\n```json\n"), F.col("props"), F.lit("\n```"))
     return fx.table(spark, d, "events").select("event_id", udfs.json_blob(fenced).alias("blob"))

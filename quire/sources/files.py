@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
+from ..operators.exports import flag_table
 
 STATE = "source_name string, source_id string, language string, script string, direction string, page_numbers array<int>, page_sections map<string,string>, pages_processed int, run_date string"
 PROGRESS = "ts double, job string, event string, page int, done int, total int"
@@ -15,7 +16,8 @@ def inputs(spark: SparkSession, path: str, extensions: tuple[str, ...] = ("png",
     """Files below a path by extension, in order of path, numbered from 1; contents stay unread until asked for."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     wanted = files.filter(F.lower(F.regexp_extract("path", r"\.([^.]+)$", 1)).isin(*extensions))
-    return wanted.select("path", "modificationTime", "length", "content").withColumn("number", F.row_number().over(Window.orderBy("path")))
+    numbered = wanted.select("path").withColumn("number", F.row_number().over(Window.orderBy("path")))  # names only go through one task
+    return wanted.select("path", "modificationTime", "length", "content").join(numbered, "path")
 
 
 def in_range(files: DataFrame, first: int | None, last: int | None) -> DataFrame:
@@ -88,8 +90,8 @@ def saved_sources(states_: DataFrame, pilot_pages: int = 10) -> DataFrame:
 
 
 def flags_csv(flags: DataFrame, path: str, runs: tuple[str, ...] = ("A", "B", "C")) -> None:
-    """The fixed columns of the flag report, missing texts as ""."""
-    flags.select("span_id", "line_index", "word_index", "char_start", "char_end", "text", "reason", *[F.coalesce(r, F.lit("")).alias(f"engine_{r.lower()}") for r in runs]).write.mode("overwrite").csv(path, header=True)
+    """The flag report: eleven fixed columns, texts and confidences of the readings among them."""
+    flag_table(flags, [], list(runs)).write.mode("overwrite").csv(path, header=True)
 
 
 def flags_json(flags: DataFrame, keys: list[str]) -> DataFrame:

@@ -214,3 +214,53 @@ def test_boxes(spark):
 def test_merge_terms(spark):
     df = spark.createDataFrame([("Hunyg", 1), ("Atitlan", 2), ("atitlan", 3), ("Tz'utujil", 4)], "term string, ord int")
     assert [r.term for r in terms.merge_keep_first(df).orderBy("ord").collect()] == ["Hunyg", "Atitlan", "Tz'utujil"]
+
+
+def test_flag_table_and_review_list(spark, tmp_path):
+    """Eleven columns, defaults for missing readings, quoting of texts as in a list for people."""
+    from quire.operators import exports
+    from quire.sources import files
+
+    rows = [("flag_00001", 0, 2, 4, 9, "señor", "engine_disagreement", "señor", None, "it's", 90.5, None, 0.0), ("flag_00002", 1, 0, 0, 1, "?", "low_confidence", "a\\b", "", 'q"\'', 10.0, 0.0, 70.0)]
+    flags = spark.createDataFrame(rows, "span_id string, line_index int, word_index int, char_start int, char_end int, text string, reason string, A string, B string, C string, A_conf double, B_conf double, C_conf double")
+    files.flags_csv(flags.coalesce(1), str(tmp_path / "flags"))
+    lines = "".join(p.read_text(encoding="utf-8") for p in (tmp_path / "flags").glob("part-*.csv")).splitlines()
+    assert lines[0] == "span_id,line_index,word_index,text,reason,A,B,C,A_conf,B_conf,C_conf"
+    assert lines[1].replace('""', "") == "flag_00001,0,2,señor,engine_disagreement,señor,,it's,90.5,0.0,0.0"
+    listed = exports.review_list(flags.withColumn("page", F.lit(1)), ["page"], ["A", "B", "C"]).first().text
+    assert listed == "# Flagged spans requiring human review\n\n- [flag_00001] line 1: `señor` (engine_disagreement)\n  engines: A='señor', C=\"it's\"\n- [flag_00002] line 2: `?` (low_confidence)\n  engines: A='a\\\\b', C='q\"\\''"
+
+
+def test_pilot_pages_take_tags_in_turn(spark):
+    """A page that stands for one tag doesn't stand for another: the next page with it does."""
+    from quire.operators import planning
+
+    pages_ = [(1, 1, "Of term:\nthe term is bro-\nken here"), (1, 2, "nothing at all"), (1, 3, "About a term:\nmore"), (1, 4, "a term in a line")]
+    df = spark.createDataFrame(pages_, "book int, page int, text string")
+    got = {r.page: r.why for r in planning.pilot_pages(df, "book", "page", "text", ["term"], 20).collect()}
+    assert got == {1: "hyphen_break", 2: "any", 3: "chapter_heading", 4: "term"}
+    assert {r.page for r in planning.pilot_pages(df, "book", "page", "text", ["term"], 2).collect()} == {1, 3}
+
+
+def test_cjk_sentences(spark):
+    from quire.operators import documents
+
+    spans = lambda t: [tuple(x) for x in value(spark, documents.cjk_sentence_spans(F.lit(t)))]
+    assert spans("今日は。明日、また！ end") == [(0, 4), (4, 7), (7, 10), (10, 14)]
+    assert spans("  ") == [] and spans("no sign") == [(0, 7)]
+
+
+def test_small_rules(spark):
+    from quire.operators import documents, termlists
+
+    assert value(spark, documents.draft({"B": F.lit("b"), "A": F.lit(None).cast("string")})) == "b"
+    assert value(spark, documents.draft({"B": F.lit("b"), "A": F.lit("")})) == ""
+    assert value(spark, documents.processing_mode(F.lit(None).cast("string"), F.lit(None).cast("int"))) == "batch"
+    assert value(spark, termlists.sources_in(F.array(F.lit("c/hard_terms_auto_x.txt"), F.lit("hard_terms_auto_a.txt"), F.lit("other")), r"^hard_terms_auto_(.+)\.txt$", "d")) == ["a", "x"]
+    assert value(spark, termlists.sources_in(F.array(F.lit("other")), r"^hard_terms_auto_(.+)\.txt$", "d")) == ["d"]
+    before, after = (spark.createDataFrame([(t,) for t in x], "term string") for x in (["a"], ["a", "b", "b"]))
+    assert [r.term for r in termlists.new_promotions(before, after).collect()] == ["b"]
+    rows = spark.createDataFrame([("k", 3, 9, None, None)], "license_key string, remaining_credits long, total_credits long, email string, product_id string")
+    assert tuple(documents.licence(rows, "k").first()) == ("k", 3, 9, "", "") and documents.licence(rows, "x").count() == 0
+    readings = spark.createDataFrame([(1, 1, "[Nican moteneu] [xiuhmolpilli] Ācatl"), (1, 2, "como que los"), (2, 1, "[Skipped: blank page]"), (2, 2, "text")], "page int, run int, text string")
+    assert {(r.page, r.run): r.section for r in documents.page_results(readings, ["page"]).collect()} == {(1, 1): "paleographic_nahuatl", (1, 2): "paleographic_nahuatl", (2, 1): None, (2, 2): "skipped"}
