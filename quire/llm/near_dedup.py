@@ -194,7 +194,11 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, words: int, t: float, k
     unlinked = unlinked.join(several, "v", "left_semi").select("v", "row", "size", F.explode(F.array("size", F.col("size") + 1)).alias("class"))
     unlinked = stash(unlinked, f"{folder}/classes")
     several = unlinked.groupBy("v", "class").agg(F.count(F.lit(1)).alias("s"), F.count_if(F.col("size") == F.col("class")).alias("own")).filter("s > 1 AND own > 0").select("v", "class", F.ceil(F.col("s") / chunk).cast("int").alias("chunks"))
-    unlinked = stash(unlinked.join(several, ["v", "class"]), f"{folder}/several")
+    # A long list's members are dealt over some tasks for this join too, its one row of chunks to each.
+    salts = 16
+    several = several.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salted = unlinked.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(salts)).cast("int"))
+    unlinked = stash(salted.join(several, ["v", "class", "salt"]).drop("salt"), f"{folder}/several")
     remove(spark, f"{folder}/unlinked", f"{folder}/classes")
     release(spark)
     upper = F.transform("prefix", lambda h: F.shiftright(h, 32).cast("int"))
