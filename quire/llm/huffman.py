@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import new_folder, release, remove, shuffle_width, stash, table
+from .common import Workspace, release, shuffle_width, stash, table
 from .pieces import piece_encoder, slices
 
 MAGIC = b"QHUF1\n\0\0"
@@ -303,21 +303,20 @@ def write_token_files(docs: DataFrame, vocabulary: str, folder: str, end_id: int
     """Encode docs into files below folder (a URI that all executors reach).
 
     Returns a row per file: part, seq (their order), file, docs, tokens."""
-    spark, work = docs.sparkSession, new_folder(docs.sparkSession, "ids")
+    spark = docs.sparkSession
     keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     ordered = keyed.repartitionByRange(shuffle_width(spark), F.col("doc_id").asc_nulls_last()).sortWithinPartitions(F.col("doc_id").asc_nulls_last(), "text")
     encoded = ordered.mapInArrow(_tokenize(vocabulary, end_id), "part int, seq long, doc_id long, ids binary")
-    encoded.write.option("compression", "zstd").parquet(work)
-    release(spark)
-    ids = spark.read.schema(encoded.schema).parquet(work)
-    counts = np.zeros(1 << 16, np.int64)
-    for r in ids.select("ids").mapInArrow(_histogram, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():  # a row per id of the vocabulary at most
-        counts[r["id"]] = r["n"]
-    lengths = code_lengths(counts, limit)
-    write_codebook(f"{folder}/codebook.npz", lengths)
-    files = stash(ids.mapInArrow(_write_files(folder, lengths, block_tokens, every, file_tokens), "part int, seq long, file string, docs long, tokens long"), f"{folder}/files.parquet")
-    remove(spark, work)
-    return files
+    with Workspace(spark, "ids") as work:
+        encoded.write.option("compression", "zstd").parquet(work.path("ids"))
+        release(spark)
+        ids = spark.read.schema(encoded.schema).parquet(work.path("ids"))
+        counts = np.zeros(1 << 16, np.int64)
+        for r in ids.select("ids").mapInArrow(_histogram, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():  # a row per id of the vocabulary at most
+            counts[r["id"]] = r["n"]
+        lengths = code_lengths(counts, limit)
+        write_codebook(f"{folder}/codebook.npz", lengths)
+        return stash(ids.mapInArrow(_write_files(folder, lengths, block_tokens, every, file_tokens), "part int, seq long, file string, docs long, tokens long"), f"{folder}/files.parquet")
 
 
 def read_token_files(files: DataFrame, folder: str) -> DataFrame:
@@ -331,6 +330,6 @@ def read_token_files(files: DataFrame, folder: str) -> DataFrame:
 def op2_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    folder = new_folder(spark, "huffman")
+    folder = Workspace(spark, "huffman").result_folder()  # the files stay until the program ends
     files = write_token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), folder)
     return read_token_files(files, folder)
