@@ -90,3 +90,21 @@ def test_rows_of_blanks_go(spark, sf):
     """A document that keeps only white space beside its lost lines goes, whatever the white space."""
     rows = [(1, "a line that is shared", "en", "s", 1), (2, "a line that is shared\n\t\n \x0b\r", "en", "s", 1), (3, "\n\t", "en", "s", 1)]
     assert [r.doc_id for r in corpus_pipeline.lines(spark, cases.documents(spark, rows), sf).orderBy("doc_id").collect()] == [1, 3]
+
+
+def test_long_and_mixed_prose_stays(spark):
+    """Clean texts of 20,000 words, also of two languages by turns, pass the quality stage; the longest junk of the table doesn't."""
+    sf, n = "/root/testdata/sf0.1", 20_000
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").join(labels, "doc_id").orderBy("doc_id").collect()
+    texts = lambda lang, label: list(dict.fromkeys(d.text for d in docs if d.lang == lang and d.quality == label))
+    langs, rows = ("en", "fr", "de", "es"), []
+    for lang in langs:
+        words = " ".join(texts(lang, 1)).split()
+        rows += [(f"{lang} {i}", " ".join(words[i : i + n]), lang) for i in range(0, min(len(words) - n, 5 * n), n)]
+        rows += [(f"{lang} junk {i}", t, lang) for i, t in enumerate(sorted(texts(lang, 0), key=len)[-3:])]
+    for other in ("fr", "es"):
+        pairs = zip(texts("de", 1), texts(other, 1), strict=False)
+        rows.append((f"de and {other}", " ".join(" ".join(t for p in pairs for t in p).split()[:n]), "de"))
+    kept = {r.doc_id for r in corpus_pipeline.quality(spark, spark.createDataFrame(rows, "doc_id string, text string, lang string"), sf).collect()}
+    assert kept == {name for name, _, _ in rows if "junk" not in name}
