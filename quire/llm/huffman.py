@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Workspace, release, shuffle_width, stash, table
-from .pieces import piece_encoder, slices
+from .pieces import piece_encoder, text_slices
 
 MAGIC = b"QHUF1\n\0\0"
 
@@ -222,9 +222,9 @@ def _tokenize(vocabulary: str, end_id: int):
 
         encoder, part, seq, end = piece_encoder(vocabulary, "<u2"), TaskContext.get().partitionId(), 0, np.array([end_id], "<u2").tobytes()
         for batch in batches:
-            for i, j in slices(len(batch)):
-                ids = [x + end for x in encoder.encode([t or "" for t in batch["text"][i:j].to_pylist()])]
-                yield pa.RecordBatch.from_arrays([pa.array([part] * (j - i), pa.int32()), pa.array(range(seq, seq + j - i), pa.int64()), batch["doc_id"][i:j], pa.array(ids, pa.binary())], ["part", "seq", "doc_id", "ids"])
+            for i, j in text_slices(batch["text"]):
+                ids = encoder.encode_column(batch["text"][i:j], end).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(j - i, part, np.int32)), pa.array(np.arange(seq, seq + j - i)), batch["doc_id"][i:j], ids], ["part", "seq", "doc_id", "ids"])
                 seq += j - i
 
     return run

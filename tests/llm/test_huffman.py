@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -9,7 +10,7 @@ from tokenizers import Tokenizer
 import cases
 from quire.llm import huffman
 from quire.llm.common import new_folder
-from quire.llm.pieces import PieceEncoder
+from quire.llm.pieces import PieceEncoder, text_slices
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -72,3 +73,57 @@ def test_block_round_trip(ids, every):
 def test_pieces_equal_the_library(text):
     encoder = test_pieces_equal_the_library.__dict__.setdefault("e", PieceEncoder(VOCABULARY))
     assert np.frombuffer(encoder.encode([text])[0], "<u4").tolist() == encoder.model.encode(text, add_special_tokens=False).ids
+
+
+TEXTS = st.one_of(st.none(), st.text(alphabet="aAeos' tTée’ß²½\t\n\r\x0b\x1c\x85\xa0\u2003\u3000.,<|>12日🙂Σ-_« ", max_size=40), st.text(alphabet=" \n'a1.é", max_size=30), st.lists(st.sampled_from(["it's", " ", "  ", "\n", "\n\n", "'re", "d'été", "<|endoftext|>", "x" * 70, "12ab", "(a", "e\u0301", "\u3000"]), max_size=12).map("".join))
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(TEXTS, max_size=8), st.integers(0, 3))
+def test_columns_of_texts_equal_the_library(texts, skipped):
+    encoder = test_columns_of_texts_equal_the_library.__dict__.setdefault("e", PieceEncoder(VOCABULARY, "<u2", remembered=40))
+    for kind in (pa.string(), pa.large_string()):
+        got = encoder.encode_column(pa.array(texts, kind)[skipped:], b"\2\0").to_pylist()
+        assert [np.frombuffer(x, "<u2").tolist() for x in got] == [[*encoder.model.encode(t or "", add_special_tokens=False).ids, 2] for t in texts[skipped:]]
+    assert len(encoder.known) <= 40
+
+
+def test_a_piece_is_looked_up_once_however_often_it_stands():
+    class Counted(dict):
+        asked = 0
+
+        def get(self, key, default=None):
+            self.asked += 1
+            return super().get(key, default)
+
+    encoder = PieceEncoder(VOCABULARY)
+    encoder.known = Counted()
+    text = "One word, one word and 12 words.\n" * 50
+    assert all(np.frombuffer(x, "<u4").tolist() == encoder.model.encode(text, add_special_tokens=False).ids for x in encoder.encode([text] * 20))
+    assert encoder.known.asked == len(encoder.known) == 9  # of 9,000 pieces
+
+
+def test_the_library_gets_few_texts_at_a_time():
+    class Watched:
+        most = 0
+
+        def __init__(self, model):
+            self.model = model
+
+        def encode_batch_fast(self, texts, **options):
+            self.most = max(self.most, sum(map(len, texts)))
+            return self.model.encode_batch_fast(texts, **options)
+
+    encoder = PieceEncoder(VOCABULARY)
+    encoder.model = Watched(encoder.model)
+    texts = [f"слово {i} и дело " * 40 for i in range(400)] + [" ".join(f"w{i}x{k}" for k in range(100)) for i in range(400)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == [encoder.model.model.encode(t, add_special_tokens=False).ids for t in texts]
+    assert encoder.model.most < 10_000 < sum(map(len, texts))
+
+
+def test_slices_of_texts_hold_all_rows():
+    texts = pa.array(["ab", None, "", "c" * 50, "d", "e", None])
+    runs = list(text_slices(texts, 4))
+    assert [k for i, j in runs for k in range(i, j)] == list(range(len(texts)))
+    assert max(sum(len(t or "") for t in texts[i:j].to_pylist()) for i, j in runs if j > i + 1) <= 4
+    assert list(text_slices(pa.array([], pa.string()))) == []
