@@ -227,14 +227,14 @@ def logical_text(c: Column, join_hyphens: bool = True) -> Column:
     return F.array_join(F.transform(paragraphs, lambda p: F.regexp_replace(p, r"\s*\n\s*", " ")), "\n\n")
 
 
-def footnote_segments(c: Column) -> Column:
-    """array<struct<kind, content>>: bodies and footnotes in order; an unclosed note takes the rest."""
+def footnote_segments(c: Column, clean: Callable[[Column], Column] = strip) -> Column:
+    """array<struct<kind, content>>: bodies and footnotes in order, cleaned; an unclosed note takes the rest."""
     opened = F.split(c, re.escape(fixed.FOOTNOTE_START), -1)
-    body = lambda t: F.filter(F.array(F.struct(F.lit("body").alias("kind"), strip(t).alias("content"))), lambda s: s["content"] != "")
+    body = lambda t: F.filter(F.array(F.struct(F.lit("body").alias("kind"), clean(t).alias("content"))), lambda s: s["content"] != "")
 
     def after(part: Column) -> Column:
         closed = F.split(part, re.escape(fixed.FOOTNOTE_END), 2)
-        note = F.array(F.struct(F.lit("footnote").alias("kind"), strip(F.get(closed, F.lit(0))).alias("content")))
+        note = F.array(F.struct(F.lit("footnote").alias("kind"), clean(F.get(closed, F.lit(0))).alias("content")))
         return F.concat(note, body(F.coalesce(F.get(closed, F.lit(1)), F.lit(""))))
 
     rest = F.flatten(F.transform(F.slice(opened, 2, F.size(opened)), after))
@@ -288,10 +288,10 @@ def hard_term_candidates(c: Column, common: Iterable[str] = ()) -> Column:
     return F.array_sort(F.array_distinct(F.filter(F.transform(tokens_of(c), core), keep)))
 
 
-def placeholders(c: Column, label: str = "NAHUATL", languages: Iterable[str] = ("nah",)) -> Column:
-    """Indigenous tokens replaced by [LABEL], spaces kept."""
-    parts = F.regexp_extract_all(c, F.lit(r"(?U)\S+|\s+"), F.lit(0))
-    return F.array_join(F.transform(parts, lambda t: F.when((strip(t) != "") & looks_indigenous(t, languages), F.lit(f"[{label}]")).otherwise(t)), "")
+def placeholders(c: Column, label: str = "NAHUATL", languages: Iterable[str] = ("nah",), parts: str = r"(?U)\S+|\s+") -> Column:
+    """Indigenous tokens replaced by [LABEL], spaces kept; parts: a pattern of tokens and of the spaces between."""
+    found = F.regexp_extract_all(c, F.lit(parts), F.lit(0))
+    return F.array_join(F.transform(found, lambda t: F.when((strip(t) != "") & looks_indigenous(t, languages), F.lit(f"[{label}]")).otherwise(t)), "")
 
 
 def slug(c: Column) -> Column:
