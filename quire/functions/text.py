@@ -36,14 +36,21 @@ def squash(c: Column) -> Column:
 
 def lines_of(c: Column) -> Column:
     """Lines without their ends; no empty line after a final line end."""
-    parts = F.split(c, LINE_END, -1)
-    return F.when(F.get(F.reverse(parts), F.lit(0)) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    cut = lambda parts: F.when(F.get(parts, F.size(parts) - 1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    return let(F.split(c, LINE_END, -1), cut)
 
 
 def tokens_of(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(r"(?U)\S+"), F.lit(0))
 
 
+def token_lines(c: Column) -> Column:
+    """array (by line) of arrays of tokens: ``tokens_of`` of each of ``lines_of``; plain cuts where blanks and \\n are all the space."""
+    plain = let(F.split(c, "\n", -1), lambda parts: F.when(F.get(parts, F.size(parts) - 1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts))
+    plain_tokens = F.transform(plain, lambda line: F.array_remove(F.split(line, " ", -1), ""))
+    return F.when(c.rlike(r"(?U)[\x1c-\x1e[\s&&[^ \n]]]"), F.transform(lines_of(c), tokens_of)).otherwise(plain_tokens)
+
+
 def contains_any(c: Column, markers: Iterable[str]) -> Column:
     """Some marker is in the lower-case text: one alternation instead of a scan each."""
     return F.lower(c).rlike("|".join(re.escape(m).replace("\\ ", " ") for m in markers))

@@ -2,6 +2,7 @@
 
 import difflib
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -50,3 +51,21 @@ def test_queries_read_whole_texts(spark):
             continue
         assert abs(r.mean_ratio - sum(own) / len(own)) < 1e-6 and abs(r.median_ratio - own[len(own) // 2]) < 1e-6
         assert (r.below_95, r.below_90) == (sum(x < 0.95 for x in own), sum(x < 0.9 for x in own))
+
+
+def test_work_does_not_grow_with_places():
+    """Texts whose every character seeds blocks: comparing all places at each block takes minutes."""
+    rng = random.Random(4)
+    letters = [chr(200 + i) for i in range(150)]
+    a = rng.choices(letters, k=40_000)
+    b = [rng.choice(letters) if rng.random() < 0.1 else x for x in a]
+    began = time.process_time()
+    assert udfs.matched_characters("".join(a), "".join(b)) > 34_000
+    assert time.process_time() - began < 10
+
+
+def test_long_runs_are_compared_by_places():
+    rng = random.Random(6)
+    a = "".join(rng.choices([chr(200 + i) for i in range(150)], k=1500))
+    b = a[:700] + "xyz" + a[600:1400]
+    assert udfs.matched_characters(a, b) == matched(a, b)
